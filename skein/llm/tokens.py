@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -38,40 +39,72 @@ class _Ids(dict):
 
 
 class ChunkEncoder:
-    """encode(texts) gives the ids of many texts at once and where each text's ids end."""
+    """encode(texts) gives the ids of many texts at once and where each text's ids end.
 
-    def __init__(self, path: str, split, most: int = 400_000):
+    At most about `most` distinct chunks are remembered; beyond that, those met only once so far are forgotten.
+    """
+
+    def __init__(self, path: str, split, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split, self.most = split, most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known, self.flat, self.ends = _Ids(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known, self.flat, self.ends, self.met = _Ids(), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _learn(self) -> None:
         new, self.known.new = self.known.new, []
         got = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)]
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in got], dtype=np.int64)])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.uint32)])
+        self._add(np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+
+    def _add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _forget(self) -> None:
+        keys = list(self.known)
+        keep = np.flatnonzero(self.met >= 2)
+        if len(keep) > self.most // 2:
+            keep = keep[np.argsort(-self.met[keep], kind="stable")[: self.most // 2]]
+        lengths = np.diff(self.ends)[keep]
+        flat = self._gather(keep, lengths)
+        self.known, self.flat, self.ends, self.met = _Ids(), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.ones(len(keep), np.int64)
+        for i in keep.tolist():
+            self.known[keys[i]]
+        self.known.new = []
+        self._add(flat, lengths)
+
+    def _gather(self, which: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.ends[which] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
     def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one uint32 array, and the end of each text in it; end_id follows each text if given."""
         if len(self.known) > self.most:
-            self._clear()
+            self._forget()
         lists = [self.split(t) for t in texts]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
-        which = np.fromiter((i for x in lists for i in map(self.known.__getitem__, x)), np.int64, int(n.sum()))
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
         if self.known.new:
             self._learn()
-        starts, lengths = self.ends[which], self.ends[which + 1] - self.ends[which]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
-        stops = ends[np.cumsum(n)] if len(n) else np.zeros(0, np.int64)
+        met = np.bincount(which, minlength=len(self.known))
+        met[: len(self.met)] += self.met
+        self.met = met
+        lengths = self.ends[which + 1] - self.ends[which]
+        ids = self._gather(which, lengths)
+        stops = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(n)] if len(n) else np.zeros(0, np.int64)
         if end_id is not None:
             ids = np.insert(ids, stops, end_id).astype(np.uint32)
             stops = stops + np.arange(1, len(stops) + 1)
         return ids, stops
+
+
+_encoders: dict[tuple, ChunkEncoder] = {}
+
+
+def encoder(path: str, split) -> ChunkEncoder:
+    """This process's encoder; a reused Python worker keeps what it knows from task to task."""
+    if (path, split) not in _encoders:
+        _encoders[path, split] = ChunkEncoder(path, split)
+    return _encoders[path, split]
