@@ -23,7 +23,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.repair import read_shards, shared_path, write_shards
+
+    path = shared_path(spark, "repair")
+    write_shards(_docs(spark, sf_dir), path, _tokenizer("byte_bpe_50k.json"))
+    return read_shards(spark, path)
+
+
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.flac import media_features, to_media
+
+    return media_features(to_media(_docs(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op6_repair": op6_repair,
+    "op10_flac": op10_flac,
 }
 ORACLE_SQL: dict[str, str] = {}
