@@ -33,6 +33,14 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
+def row_groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list]]:
+    """Columns as lists, some hundred rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
+
+
 def chunks(rows: Iterator[tuple], size: Callable[[tuple], int] = lambda r: len(r[1]), limit: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
     """Groups of rows of about `limit` bytes; a longer row makes a group of its own size."""
     held, total = [], 0

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm import common
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +27,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.suffix_array import remove_repeated_bytes
+
+    return remove_repeated_bytes(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.suffix_tree import remove_repeated_windows
+
+    def digest(batches):
+        for doc_id, n_words, n_removed, kept in common.row_groups(batches, "doc_id", "n_words", "n_removed", "kept"):
+            yield {"doc_id": doc_id, "n_words": n_words, "n_removed": n_removed, "kept_sha256": [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in kept]}
+
+    kept = remove_repeated_windows(_docs(spark, sf_dir)).withColumn("kept", F.col("kept").cast("binary"))
+    return common.map_docs(kept, digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
 def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.repair import read_shards, shared_path, write_shards
 
@@ -39,6 +60,8 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op4_suffix_array": op4_suffix_array,
+    "op5_suffix_tree": op5_suffix_tree,
     "op6_repair": op6_repair,
     "op10_flac": op10_flac,
 }
