@@ -45,13 +45,20 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skein.llm.repair import read_shards, shared_path, write_shards
+    from skein.llm.repair import read_shards, write_shards
+    from skein.llm.tables import shared_path
 
     path = shared_path(spark, "repair")
     write_shards(_docs(spark, sf_dir), path, _tokenizer("byte_bpe_50k.json"))
     return read_shards(spark, path)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.simhash import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.flac import media_features, to_media
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array": op4_suffix_array,
     "op5_suffix_tree": op5_suffix_tree,
     "op6_repair": op6_repair,
+    "op9_simhash": op9_simhash,
     "op10_flac": op10_flac,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -13,7 +13,6 @@ u32, sequence (u16 or u32).
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -191,11 +190,3 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
             yield {"doc_id": shard.doc_ids, "start": first + stops - shard.lengths, "n_tokens": shard.lengths, "ids_crc32": crc}
 
     return map_docs(shards.select("shard", "body").join(starts, "shard").select("first", "body"), work, IDS)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,8 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
-from skein.llm.repair import Shard, compress, encode_shard, read_shards, shared_path, write_shards
+from skein.llm.repair import Shard, compress, encode_shard, read_shards, write_shards
+from skein.llm.tables import shared_path
 
 from .helpers import ODD, clash, frame
 
