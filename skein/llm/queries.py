@@ -21,6 +21,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.line_dedup import remove_repeated_lines
+
+    kept = remove_repeated_lines(_docs(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.packing import pack_documents
 
@@ -66,6 +73,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_packing": op3_packing,
     "op4_suffix_array": op4_suffix_array,
     "op5_suffix_tree": op5_suffix_tree,
