@@ -38,7 +38,9 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """bucket, from, to of sorted bucket numbers."""
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+    if not len(bucket):
+        return
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
         yield int(bucket[a]), a, b
 

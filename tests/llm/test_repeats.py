@@ -69,6 +69,8 @@ def test_ties_nulls_and_empty_tables(spark):
     assert got == [(5, 0), (5, 0), (7, 0), (None, 80)]
     got = sorted(((r.doc_id, r.n_removed) for r in suffix_array.remove_repeated_bytes(df).collect()), key=str)
     assert got == [(5, 0), (5, 0), (7, 0), (None, len(long))]
+    short = frame(spark, [None, "", "a b", "a b"])
+    assert [r.n_removed for r in suffix_array.remove_repeated_bytes(short).collect()] == [r.n_removed for r in suffix_tree.remove_repeated_windows(short).collect()] == [0] * 4
     assert suffix_array.remove_repeated_bytes(frame(spark, [])).count() == suffix_tree.remove_repeated_windows(frame(spark, [])).count() == 0
 
 
