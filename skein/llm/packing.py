@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from skein.llm.common import chunks, doc_bytes, map_docs, rows_of
-from skein.llm.tokens import encoder, split_words
+from skein.llm.tokens import encoder, Words
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 SHARD_TOKENS = 3_000_000
@@ -61,7 +61,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     """
 
     def work(batches) -> Iterator[dict]:
-        coder, task, made = encoder(tokenizer_path, split_words), TaskContext.get().partitionId(), 0
+        coder, task, made = encoder(tokenizer_path, Words), TaskContext.get().partitionId(), 0
         shard: list[tuple[int | None, np.ndarray]] = []
 
         def flush() -> dict:

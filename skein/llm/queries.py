@@ -28,6 +28,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.quality import judge_quality
+
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "low", "high"]
+    return judge_quality(_docs(spark, sf_dir)).select(*cols)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.packing import pack_documents
 
@@ -74,6 +81,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_suffix_array": op4_suffix_array,
     "op5_suffix_tree": op5_suffix_tree,

@@ -18,14 +18,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import chunks, doc_bytes, map_docs, n_parts, rows_of
-from skein.llm.tokens import encoder, split_spaced
+from skein.llm.tokens import encoder, Spaced
 
 MAGIC = b"SKRP0001"
 ROUNDS, MIN_COUNT, RULES_A_ROUND = 6, 12, 4096
+#: Symbols take 16 bits if terminals and rules fit in as many; rules beyond that would cost more than they save.
+SYMBOLS = 1 << 16
+BROADCAST_SHARDS = 1 << 18
 SHARDS = "shard long, n_docs long, n_ids long, body binary"
 IDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _SLOTS = 1 << 18
@@ -45,7 +48,10 @@ def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: i
         frequent = np.flatnonzero(n >= min_count)
         if not len(frequent):
             break
-        best = frequent[np.argsort(-n[frequent], kind="stable")[:per_round]]
+        room = SYMBOLS - top if terminals < SYMBOLS else per_round
+        best = frequent[np.argsort(-n[frequent], kind="stable")[: min(per_round, room)]]
+        if not len(best):
+            break
         chosen = counted[at[best]]
         # A rule's slot in a table of pairs; where two rules meet, the more frequent one keeps it for this round.
         slot = _slot(chosen)
@@ -152,7 +158,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def work(batches) -> Iterator[dict]:
         from pyspark import TaskContext
 
-        coder, doc_ids, lengths, ids = encoder(tokenizer_path, split_spaced), [], [], []
+        coder, doc_ids, lengths, ids = encoder(tokenizer_path, Spaced), [], [], []
         made = TaskContext.get().partitionId() << 20
 
         def flush() -> dict:
@@ -177,9 +183,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the shards under path: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     shards = spark.read.parquet(path)
     # One row of counts per shard; their running sum needs one task, which reads no bodies.
-    from pyspark.sql import Window
-
     starts = shards.select("shard", "n_ids").withColumn("first", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).drop("n_ids")
+    if shards.select("shard").count() <= BROADCAST_SHARDS:  # 16 bytes each
+        starts = F.broadcast(starts)
 
     def work(batches) -> Iterator[dict]:
         for first, body in rows_of(batches, "first", "body"):

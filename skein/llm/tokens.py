@@ -14,16 +14,53 @@ import numpy as np
 
 #: A cut before white space is safe behind printable ASCII or behind a two-byte letter (lead bytes C3 to DF: no white space).
 _SPACED = re.compile(rb"(?<=[\x21-\x7e])(?=[ \n\t\r])|(?<=[\xc3-\xdf][\x80-\xbf])(?=[ \n\t\r])")
+#: Bytes that ask for the careful way: control characters, and leads of characters that may be white space.
+_ODD = bytes([*range(9), *range(11, 32), 127, 0xC2, *range(0xE0, 0x100)])
+#: Letters that are letters in every table and stay as they are under NFC.
+_STEM = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: How byte-level tokenizers write bytes as characters: printable ones as themselves, the rest from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_AS_CHAR = {b: b for b in _PRINTED} | {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 
 
-def split_words(text: bytes) -> list[bytes]:
-    """For tokenizers that drop white space: whitespace-separated words."""
-    return text.split()
+class Words:
+    """For tokenizers that lower-case and drop white space: words between ASCII white space."""
 
+    split = staticmethod(bytes.split)
 
-def split_spaced(text: bytes) -> list[bytes]:
-    """For byte-level tokenizers, where white space goes with what follows: cuts before white space that follows text."""
-    return _SPACED.split(text) if text else []
+    @staticmethod
+    def text(key: bytes) -> str:
+        return key.decode("utf-8", "replace")
+
+    @staticmethod
+    def printed(stem: str) -> str:
+        return stem.lower().encode().decode("latin-1").translate(_AS_CHAR)
+
+
+class Spaced:
+    """For byte-level tokenizers, where white space goes with what follows: cuts before white space that follows text.
+
+    A key stands for a chunk: one that begins with \\0 for what is after that, one that begins with a line feed for
+    itself, any other for a space and itself.
+    """
+
+    @staticmethod
+    def split(text: bytes) -> list[bytes]:
+        if not text:
+            return []
+        if text[:1] in b" \n" or len(text.translate(None, _ODD)) != len(text) or b"  " in text or b"\n\n" in text or b"\n " in text or b" \n" in text:
+            return [b"\0" + x for x in _SPACED.split(text)]
+        keys = text.replace(b"\n", b" \n").split(b" ")
+        keys[0] = b"\0" + keys[0]
+        return keys
+
+    @staticmethod
+    def text(key: bytes) -> str:
+        return (key[1:] if key[:1] == b"\0" else key if key[:1] == b"\n" else b" " + key).decode("utf-8", "replace")
+
+    @staticmethod
+    def printed(stem: str) -> str:
+        return stem.encode().decode("latin-1").translate(_AS_CHAR)
 
 
 class _Ids(dict):
@@ -50,12 +87,41 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.split, self.most = split, most
         self.known, self.flat, self.ends, self.met = _Ids(), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.stems: dict[str, list[int]] = {}
+        self.tails: dict[str, list[int]] = {"": []}
+
+    def _stem(self, stem: str) -> list[int]:
+        """A run of letters is one word to every pre-tokenizer here, so the model alone gives its ids."""
+        if len(self.stems) > self.most // 2:
+            self.stems.clear()
+        self.stems[stem] = ids = [t.id for t in self.model.tokenize(self.split.printed(stem))]
+        return ids
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
         new, self.known.new = self.known.new, []
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)]
+        got: list = [None] * len(new)
+        plain = []
+        for i, key in enumerate(new):
+            text = self.split.text(key)
+            m = _STEM.match(text)
+            if m is None or (end := m.end()) < len(text) and text[end] > "\x7f":
+                plain.append((i, text))
+                continue
+            tail = text[end:]
+            if tail not in self.tails:
+                if len(self.tails) > 50_000:
+                    self.tails = {"": []}
+                self.tails[tail] = self._whole([tail])[0]
+            stem = text[:end]
+            got[i] = (self.stems.get(stem) or self._stem(stem)) + self.tails[tail]
+        for (i, _), ids in zip(plain, self._whole([t for _, t in plain]), strict=True):
+            got[i] = ids
         self._add(np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
 
     def _add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
@@ -83,7 +149,7 @@ class ChunkEncoder:
         """Ids of all texts in one uint32 array, and the end of each text in it; end_id follows each text if given."""
         if len(self.known) > self.most:
             self._forget()
-        lists = [self.split(t) for t in texts]
+        lists = [self.split.split(t) for t in texts]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
         if self.known.new:

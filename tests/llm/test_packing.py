@@ -7,16 +7,18 @@ import pytest
 from tokenizers import Tokenizer
 
 from skein.llm.packing import pack, pack_documents
-from skein.llm.tokens import ChunkEncoder, split_spaced, split_words
+from skein.llm.tokens import ChunkEncoder, Spaced, Words
 
 from .helpers import ODD, clash, frame
 
 
-@pytest.mark.parametrize(("name", "split"), [("word_bpe_49k.json", split_words), ("byte_bpe_50k.json", split_spaced)])
+@pytest.mark.parametrize(("name", "split"), [("word_bpe_49k.json", Words), ("byte_bpe_50k.json", Spaced)])
 def test_chunks_give_the_ids_of_the_whole_text(name, split):
     rng = random.Random(5)
-    signs = ["a", "The", "é", "ß", "É", "'s", "don't", " ", "  ", "\n", "\t", "\r\n", " ", " ", "́", "1", "42", "!!", ".", "漢字", "𝔘", "<|endoftext|>", "\x1c", "\x85", "Σ", "ΑΣ"]
+    signs = ["a", "The", "é", "ß", "É", "'s", "don't", " ", "  ", "\n", "\t", "\r\n", " ", " ", "́", "1", "42", "!!", ".", "漢字", "𝔘", "<|endoftext|>", "\x1c", "\x85", "Σ", "ΑΣ", "\x00", "İ", "ÀÉ", "naïve", "foo", "bar.", "ﬁ", "x²"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [t for t in ODD if t]
+    words = ["foo", "Bar,", "été.", "ÜBER!!", "it's", "x|y", "a1b2", "don't"]
+    texts += ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n"]) for _ in range(rng.randint(0, 30))).strip() for _ in range(500)]
     whole = Tokenizer.from_file(P.path(name))
     whole.encode_special_tokens = True
     ids, stops = ChunkEncoder(P.path(name), split).encode([t.encode() for t in texts])
