@@ -67,6 +67,21 @@ def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, path)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm import language_id
+
+    docs = _docs(spark, sf_dir)
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.pieces import decode_pieces, encode_pieces
+
+    path = _tokenizer("piece_bpe_32k.model")
+    return decode_pieces(encode_pieces(_docs(spark, sf_dir), path), path).select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.simhash import near_duplicates
 
@@ -86,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array": op4_suffix_array,
     "op5_suffix_tree": op5_suffix_tree,
     "op6_repair": op6_repair,
+    "op7_language_id": op7_language_id,
+    "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
     "op10_flac": op10_flac,
 }

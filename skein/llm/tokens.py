@@ -89,10 +89,13 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.split, self.most = split, most
-        self.known, self.flat, self.ends, self.met = _Ids(), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.start()
         self.stems: dict[str, list[int]] = {}
         self.tails: dict[str, list[int]] = {"": []}
 
+    def start(self) -> None:
+        self.known, self.flat, self.ends, self.met = _Ids(), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
     def _stem(self, stem: str) -> list[int]:
         """A run of letters is one word to every pre-tokenizer here, so the model alone gives its ids."""
         if len(self.stems) > self.most // 2:
@@ -135,7 +138,8 @@ class ChunkEncoder:
             keep = keep[np.argsort(-self.met[keep], kind="stable")[: self.most // 2]]
         lengths = np.diff(self.ends)[keep]
         flat = self._gather(keep, lengths)
-        self.known, self.flat, self.ends, self.met = _Ids(), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.ones(len(keep), np.int64)
+        self.start()
+        self.met = np.ones(len(keep), np.int64)
         for i in keep.tolist():
             self.known[keys[i]]
         self.known.new = []
