@@ -1,15 +1,65 @@
-"""A corpus pipeline over the documents: STAGES, each one of the training-data operators, applied in order by run()."""
+"""A corpus pipeline over documents: STAGES in order, each one of the training-data operators over all that is left.
+
+Every stage but the last returns the columns of documents. Documents that quality rules reject go; repeated runs of lines
+are deleted; of near duplicates the one with the smallest doc_id stays; words in windows that repeat an earlier document
+are deleted; what is left is packed into sequences. Texts that lose something stay as documents, even if empty.
+
+Rows that share a doc_id stay or go together. Extra columns are carried along, and n_chars follows a changed text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm.common import rest_of, with_text
+from skein.llm.line_dedup import remove_repeated_lines
+from skein.llm.packing import pack_documents
+from skein.llm.quality import judge_quality
+from skein.llm.simhash import near_duplicates
+from skein.llm.suffix_tree import remove_repeated_windows
+from skein.llm.tables import cut
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    kept = kept.select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept.kept_id), "left_semi")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, judge_quality(docs).where("kept"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_text(remove_repeated_lines(docs, rest=rest_of(docs)), docs, "kept")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, near_duplicates(docs).where("doc_id <=> component_id"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_text(remove_repeated_windows(docs, rest=rest_of(docs)), docs, "kept")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("packing", packing),
+]
+#: Perplexity, SimHash and tokenizers have no SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -88,3 +88,18 @@ def n_parts(df: DataFrame, part_bytes: int = 4 << 20) -> int:
     few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(df)
     return max(1, math.ceil(size / part_bytes)) if size else few
+
+
+def rest_of(docs: DataFrame):
+    """All columns but doc_id and text in one, named rest, to carry them through an operator."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return F.struct(*(others or [F.lit(0).alias("none")])).alias("rest")
+
+
+def with_text(result: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Rows with docs' columns, from a result that has doc_id, the new text and rest; n_chars follows the text."""
+    new = F.col(text).alias("text")
+    columns = {"doc_id": F.col("doc_id"), "text": new}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return result.select(*(columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))

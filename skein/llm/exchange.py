@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.common import arrow_schema, doc_bytes
 
@@ -24,9 +25,9 @@ BLOCK = "bucket int, part int, body binary"
 _SCHEMA = arrow_schema(BLOCK)
 
 
-def deal(docs: DataFrame, parts: int, *more: str) -> DataFrame:
+def deal(docs: DataFrame, parts: int, *more) -> DataFrame:
     """doc_id, text as bytes and the document's part, with more columns if named. Plans that start from one dealt frame
-    share one exchange of the texts."""
+    share one exchange of the texts. A column `rest` is only carried along to finish()."""
     own = doc_bytes(docs) if not more else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("text"), *more)
     return own.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
 
@@ -72,18 +73,23 @@ def _blocks(table: pa.Table, by: str) -> list[tuple[int, bytes]]:
     return sorted(zip(table.column(by).to_pylist(), table.column("body").to_pylist(), strict=True), key=lambda x: x[0])
 
 
-def _texts(table: pa.Table, names: list[str]) -> list[tuple]:
-    """A part's documents in an order that doesn't depend on how they came."""
+def _texts(table: pa.Table, names: list[str]) -> tuple[list[tuple], list[int]]:
+    """A part's documents in an order that doesn't depend on how they came, and where each one was."""
     rows = list(zip(*(table.column(n).to_pylist() for n in names), strict=True))
-    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *(x if x is not None else type(r[1])() if i == 0 else "" for i, x in enumerate(r[1:]))))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, *(x or (0 if k == 0 else b"" if k == 1 else "") for k, x in enumerate(rows[i]))))
+    return [rows[i] for i in order], order
+
+
+def _names(dealt: DataFrame) -> list[str]:
+    return [c for c in dealt.columns if c not in ("part", "rest")]
 
 
 def ask(dealt: DataFrame, work: Callable[[list[tuple]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """Blocks for buckets, made from each part's documents."""
-    names = [c for c in dealt.columns if c != "part"]
+    names = _names(dealt)
 
     def run(key, table):
-        return _table([(b, key[0].as_py(), body) for b, body in work(_texts(table, names))])
+        return _table([(b, key[0].as_py(), body) for b, body in work(_texts(table, names)[0])])
 
     return dealt.groupBy("part").applyInArrow(run, BLOCK)
 
@@ -99,20 +105,23 @@ def answer(blocks: DataFrame, work: Callable[[list[tuple[int, bytes]]], Iterator
 
 def ask_again(dealt: DataFrame, answers: DataFrame, work: Callable[[list[tuple], list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """Blocks for buckets, made from each part's documents and the answers that it got."""
-    names = [c for c in dealt.columns if c != "part"]
+    names = _names(dealt)
 
     def run(key, texts, got):
-        return _table([(b, key[0].as_py(), body) for b, body in work(_texts(texts, names), _blocks(got, "bucket"))])
+        return _table([(b, key[0].as_py(), body) for b, body in work(_texts(texts, names)[0], _blocks(got, "bucket"))])
 
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, BLOCK)
 
 
 def finish(dealt: DataFrame, answers: DataFrame, work: Callable[[list[tuple], list[tuple[int, bytes]]], dict], ddl: str) -> DataFrame:
-    """The result's rows, made from each part's documents and the answers that it got."""
-    names, schema = [c for c in dealt.columns if c != "part"], arrow_schema(ddl)
+    """The result's rows, made from each part's documents and the answers that it got, with `rest` if dealt has it."""
+    names, schema, rest = _names(dealt), arrow_schema(ddl), "rest" in dealt.columns
 
     def run(_, texts, got):
-        columns = work(_texts(texts, names), _blocks(got, "bucket"))
-        return pa.Table.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+        rows, order = _texts(texts, names)
+        columns = work(rows, _blocks(got, "bucket"))
+        out = pa.Table.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+        return out.append_column("rest", texts.column("rest").take(pa.array(order, pa.int64()))) if rest else out
 
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, ddl)
+    kind = T.StructType([*T._parse_datatype_string(ddl).fields, *([dealt.schema["rest"]] if rest else [])])
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, kind)

@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skein.llm.common import LAST_ID, map_docs, rows_of
+from skein.llm.common import LAST_ID, arrow_schema, rows_of
 from skein.llm.tables import cut
 
 MIN_LINES = 2
@@ -64,31 +66,44 @@ def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return out
 
 
-def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Per document: doc_id, n_lines, n_removed, n_runs (maximal deleted runs), longest_run and the text without them.
+def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, rest: Column | None = None) -> DataFrame:
+    """Per document: doc_id, n_lines, n_removed, n_runs (maximal deleted runs), longest_run, kept (the text without them),
+    and rest if given.
 
     A null text counts as empty, and an empty text has one empty line. Rows with one doc_id and different texts are
     taken in the order of the texts' hashes; rows that are equal in both are one document, and all get its result.
     Null doc_ids come after all others.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"d": F.coalesce("doc_id", F.lit(LAST_ID)), "t": F.xxhash64("text")})
+    more = [] if rest is None else [rest]
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *more).withColumns({"d": F.coalesce("doc_id", F.lit(LAST_ID)), "t": F.xxhash64("text")})
     # One row of starts per document; a text's lines bound it.
     starts = repeated_windows(docs, min_lines).groupBy("d", "t", "i").agg(F.max("depth").alias("depth")).groupBy("d", "t").agg(F.collect_list(F.struct("i", "depth")).alias("starts"))
-    held = whole.join(starts, ["d", "t"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), F.col("starts.i").alias("at"), F.col("starts.depth").alias("depth"))
-
-    def work(batches) -> Iterator[dict]:
-        for doc_id, body, at, depth in rows_of(batches, "doc_id", "text", "at", "depth"):
-            lines = body.split(b"\n")
-            drop, runs, longest, stop = set(), 0, 0, -1
-            begun = 0
-            for i, n in sorted(zip(at or (), depth or (), strict=True)):
-                if i > stop:
-                    runs, begun = runs + 1, i
-                stop = max(stop, i + n)
-                longest = max(longest, stop - begun)
-                drop.update(range(i, i + n))
-            kept = b"\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else body
-            yield {"doc_id": [doc_id], "n_lines": [len(lines)], "n_removed": [len(drop)], "n_runs": [runs], "longest_run": [longest], "kept": [kept.decode("utf-8", "replace")]}
-
-    return map_docs(held, work, RESULT)
+    held = whole.join(starts, ["d", "t"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), F.col("starts.i").alias("at"), F.col("starts.depth").alias("depth"), *(["rest"] if more else []))
+    schema, carried = arrow_schema(RESULT), bool(more)
+
+    def work(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_without_runs(*r) for r in rows_of([batch], "text", "at", "depth")]
+            n_lines, n_removed, n_runs, longest, kept = zip(*rows, strict=True) if rows else ((),) * 5
+            columns = [batch.column(0), *(pa.array(x, f.type) for x, f in zip((n_lines, n_removed, n_runs, longest, kept), list(schema)[1:], strict=True))]
+            names = schema.names
+            if carried:
+                columns, names = [*columns, batch.column(4)], [*names, "rest"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return held.mapInArrow(work, T.StructType([*T._parse_datatype_string(RESULT).fields, *([held.schema["rest"]] if more else [])]))
+
+
+def _without_runs(body: bytes, at: list[int] | None, depth: list[int] | None) -> tuple[int, int, int, int, str]:
+    """n_lines, n_removed, n_runs, longest_run and what is left of a text whose lines from at[j] on, depth[j] of them, go."""
+    lines = body.split(b"\n")
+    drop, runs, longest, stop, begun = set(), 0, 0, -1, 0
+    for i, n in sorted(zip(at or (), depth or (), strict=True)):
+        if i > stop:
+            runs, begun = runs + 1, i
+        stop = max(stop, i + n)
+        longest = max(longest, stop - begun)
+        drop.update(range(i, i + n))
+    kept = b"\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else body
+    return len(lines), len(drop), runs, longest, kept.decode("utf-8", "replace")

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from skein.llm.common import LAST_ID, n_parts
 from skein.llm.exchange import answer, ask, ask_again, blob, bucket_of, deal, finish, slices, unblob
@@ -164,10 +164,10 @@ def _shared_bits(blocks: list[tuple[int, bytes]], part: Part, buckets: int) -> t
     return np.concatenate(out) if out else np.zeros(0, bool), bits
 
 
-def find_repeats(docs: DataFrame, spec: Spec, result: Callable[[list[tuple], np.ndarray, np.ndarray], dict], ddl: str, part_bytes: int = 4 << 20) -> DataFrame:
+def find_repeats(docs: DataFrame, spec: Spec, result: Callable[[list[tuple], np.ndarray, np.ndarray], dict], ddl: str, rest: Column | None = None, part_bytes: int = 4 << 20) -> DataFrame:
     """result(rows, ends, covered) for each part: its documents, where each one's units end, and which units are covered."""
     parts = buckets = n_parts(docs, part_bytes)
-    dealt = deal(docs, parts)
+    dealt = deal(docs, parts) if rest is None else deal(docs, parts, rest)
 
     def wanted(rows) -> Iterator[tuple[int, bytes]]:
         part = Part(rows, spec)
@@ -268,30 +268,22 @@ def prefix_groups(keys: Callable[[np.ndarray, int], np.ndarray], n: int, most: i
             continue
         k = keys(own, i)
         order = np.argsort(k, kind="stable")
-        cuts = np.flatnonzero(np.diff(k[order])) + 1
-        pieces = np.split(own[order], cuts)
-        held: list[np.ndarray] = []
-        made = []
-        for x in pieces:  # neighbouring small prefixes share a group
-            if len(x) > most:
-                made += [(np.concatenate(held), depth)] if held else []
-                held = []
-                made.append((x, i + 1))
-            elif held and sum(map(len, held)) + len(x) > most:
-                made.append((np.concatenate(held), depth))
-                held = [x]
+        own = own[order]
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(k[order])) + 1, [len(own)]])
+        made, at = [], 0
+        while at < len(bounds) - 1:
+            to = int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1
+            if to > at:  # neighbouring prefixes that fit share a group
+                made.append((own[bounds[at] : bounds[to]], depth))
             else:
-                held.append(x)
-        made += [(np.concatenate(held), depth)] if held else []
+                to = at + 1
+                made.append((own[bounds[at] : bounds[to]], i + 1))
+            at = to
         stack += made[::-1]
 
 
 def sorted_suffixes(units: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes, cut after `window` units, in lexicographic order, and each one's common prefix with the one before."""
-    kind = ">u1" if units.itemsize == 1 else ">u4"
-    if units.itemsize > 1:
-        units = np.unique(units, return_inverse=True)[1] + 1
-    units = units.astype(kind)
+    """Suffixes, cut after `window` units (bytes or big-endian), in order, and each one's common prefix with the one before."""
     rows = np.lib.stride_tricks.sliding_window_view(units, window)[starts]
     order = np.argsort(np.ascontiguousarray(rows).view(f"S{window * rows.itemsize}").ravel(), kind="stable")
     rows = rows[order]

@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from skein.llm.repeats import Spec, find_repeats, hash_words, prefix_groups, sorted_suffixes
 
@@ -25,7 +25,7 @@ class _Hashes(dict):
     """64-bit word hashes, each worked out once."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -48,6 +48,7 @@ def deep_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def judge(units: np.ndarray, starts: np.ndarray, rank: np.ndarray, window: int) -> np.ndarray:
     out = np.zeros(len(starts), bool)
+    units = np.unique(units, return_inverse=True)[1].astype(">u4")
     for own in prefix_groups(lambda s, i: units[starts[s] + i], len(starts), GROUP, window):
         order, common = sorted_suffixes(units, starts[own], window)
         leaf_rank = rank[own[order]]
@@ -83,12 +84,13 @@ def _result(rows, ends, cover) -> dict:
     return out
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int | None = None) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed and the text without the removed words, white space kept.
+def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int | None = None, rest: Column | None = None) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, kept (the text without the removed words, white space as it was), and rest
+    if given.
 
     Every word covered by a window of `window` words that also starts in a document with a smaller doc_id is removed.
     Null and empty texts have no words; rows with one doc_id don't remove each other's words; rows with a null doc_id
     come after all others. Words are compared by 64-bit hashes, window by window.
     """
     spec = Spec(word_hashes, "u8", hash_words, window, gram or max(1, window // 5), judge)
-    return find_repeats(docs, spec, _result, KEPT)
+    return find_repeats(docs, spec, _result, KEPT, rest)
