@@ -20,7 +20,7 @@ from skein.llm.common import LAST_ID, n_parts
 from skein.llm.exchange import answer, ask, ask_again, blob, bucket_of, deal, finish, slices, unblob
 
 #: Units hashed at once; what numpy holds for them is some hundred bytes a unit at most.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -164,7 +164,7 @@ def _shared_bits(blocks: list[tuple[int, bytes]], part: Part, buckets: int) -> t
     return np.concatenate(out) if out else np.zeros(0, bool), bits
 
 
-def find_repeats(docs: DataFrame, spec: Spec, result: Callable[[list[tuple], np.ndarray, np.ndarray], dict], ddl: str, rest: Column | None = None, part_bytes: int = 4 << 20) -> DataFrame:
+def find_repeats(docs: DataFrame, spec: Spec, result: Callable[[list[tuple], np.ndarray, np.ndarray], dict], ddl: str, rest: Column | None = None, part_bytes: int = 2 << 20) -> DataFrame:
     """result(rows, ends, covered) for each part: its documents, where each one's units end, and which units are covered."""
     parts = buckets = n_parts(docs, part_bytes)
     dealt = deal(docs, parts) if rest is None else deal(docs, parts, rest)
@@ -182,7 +182,8 @@ def find_repeats(docs: DataFrame, spec: Spec, result: Callable[[list[tuple], np.
         own = [k[np.unpackbits(m, count=len(k)).astype(bool)] for _, k, m in got]
         twice = np.unique(np.concatenate([twice, *own]))
         for p, k, _ in got:
-            yield p, blob(np.packbits(np.isin(k, twice)))
+            at = np.minimum(np.searchsorted(twice, k), max(len(twice) - 1, 0))
+            yield p, blob(np.packbits(twice[at] == k if len(twice) else np.zeros(len(k), bool)))
 
     def stretches(rows, blocks) -> Iterator[tuple[int, bytes]]:
         part = Part(rows, spec)
