@@ -26,7 +26,7 @@ from skein.llm.tables import cut
 
 ORDER = 4
 MODEL_ROWS = 3_000_000
-BAND, LEAST_BAND = 8.0, 0.35
+BAND, LEAST_BAND = 8.0, 0.6
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Fixed values of the rule: what counts as a symbol.
 SYMBOLS = b"#*$%&|<>"
@@ -173,7 +173,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     low = (1 << _BITS) - 1
     grams = {ORDER: counts.select("lang", *(F.shiftright(c, s).bitwiseAND(F.lit(low)).alias(f"c{i}") for i, (c, s) in enumerate((("a", _BITS), ("a", 0), ("b", _BITS), ("b", 0)))), "n")}
     for k in range(ORDER - 1, 0, -1):  # lower orders count in how many places an n-gram continues something
-        grams[k] = grams[k + 1].groupBy("lang", *(f"c{i}" for i in range(ORDER - k, ORDER))).agg(F.count("*").alias("n"))
+        grams[k] = cut(grams[k + 1].groupBy("lang", *(f"c{i}" for i in range(ORDER - k, ORDER))).agg(F.count("*").alias("n")), "grams")
     model = probabilities = None
     for k in range(1, ORDER + 1):
         own = grams[k]
@@ -193,7 +193,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             own = own.withColumn("p", seen + F.col("gamma") / (F.col("types") + 1))  # one share is left for characters never met
         else:
             own = own.join(probabilities.withColumnRenamed("p", "lower"), ["lang", *cols[1:]]).withColumn("p", seen + F.col("gamma") * F.col("lower"))
-        probabilities = own.select("lang", *cols, "p")
+        probabilities = cut(own.select("lang", *cols, "p"), "probabilities")
         four = [F.lit(0).cast("long")] * (ORDER - k) + [F.col(c) for c in cols]
         table = probabilities.select("lang", F.lit(k).alias("k"), _packed(four[:2]).alias("a"), _packed(four[2:]).alias("b"), "p")
         if k > 1:  # the weight belongs to the context, which is an n-gram of order k - 1
@@ -392,7 +392,8 @@ def judge_quality(docs: DataFrame, band: float = BAND, model_rows: int = MODEL_R
     logarithm of the perplexity lies within its language's band.
     """
     model = cut(kneser_ney(cut(count_grams(docs), "grams")), "model")
-    scored = cut(score_documents(docs, model, model_rows), "scored")
+    # Every n-gram of these documents was counted, so none falls back to a lower order.
+    scored = cut(score_documents(docs, model.where(F.col("k") == ORDER), model_rows), "scored")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("log_perplexity", F.when(F.col("n_predicted") > 0, -F.col("log_prob") / F.col("n_predicted")))
     judged = scored.join(bands(scored.where("not base_failed"), band), "lang", "left")
