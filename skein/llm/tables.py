@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="skein-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of
+    this process if all runs in it, as in tests, and the warehouse on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        root = _own_folder() if alone else spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
