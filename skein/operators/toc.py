@@ -173,3 +173,14 @@ def compare(left: DataFrame, right: DataFrame, content: str = "content") -> Data
     both = a.join(b, ["archive", "path"], "full_outer")
     state = F.when(F.col("_in_b").isNull(), "left").when(F.col("_in_a").isNull(), "right").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
     return both.select("archive", "path", state.alias("state")).where("state is not null")
+
+
+def path_listing(toc: DataFrame) -> DataFrame:
+    """archive, pos and path of every entry, the root included, in walk order."""
+    return walk(toc).select("archive", "pos", "path")
+
+
+def write_listing(toc: DataFrame, path: str) -> None:
+    """Writes the lines of listing() as text, one folder per archive, sorted within each."""
+    lines = listing(toc).repartitionByRange("archive", "pos").sortWithinPartitions("archive", "pos")
+    lines.select("archive", F.col("line").alias("value")).write.partitionBy("archive").text(path)

@@ -224,3 +224,15 @@ def _decode(data: bytes, point: RestartPoint, skip: int, length: int) -> bytes:
         if code == _Z_STREAM_END or code == _Z_BUF_ERROR or not got and not z.z.avail_in:
             break
     return bytes(out[:length])
+
+
+def inflate(data: bytes, dictionary: bytes = b"") -> bytes:
+    """A raw DEFLATE stream, with a preset dictionary if given."""
+    z = zlib.decompressobj(-15, zdict=dictionary) if dictionary else zlib.decompressobj(-15)
+    try:
+        out = z.decompress(data) + z.flush()
+    except zlib.error as e:
+        raise GzipError(str(e)) from None
+    if not z.eof:
+        raise GzipError("the stream is cut short")
+    return out

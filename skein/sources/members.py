@@ -116,3 +116,18 @@ def gzip_members(archives: DataFrame) -> DataFrame:
 
     got = archives.select("archive", "content").mapInPandas(work, "archive string, member long, into long, out long, name string, comment string, extra binary, mod_time long, os long, crc32 long, isize long, error string")
     return got.withColumn("mod_time", F.timestamp_seconds("mod_time"))
+
+
+def register_functions(spark) -> None:
+    """SQL table function explode_archive(content): the entries of one archive."""
+    from pyspark.sql.functions import udtf
+
+    names = [c.split()[0] for c in TOC.replace("map<string,string>", "map").split(",")][1:]
+
+    @udtf(returnType=TOC.removeprefix("archive string, "))
+    class ExplodeArchive:
+        def eval(self, content: bytes):
+            for e in entries(uncompressed(content)):
+                yield tuple(e[n] for n in names)
+
+    spark.udtf.register("explode_archive", ExplodeArchive)

@@ -263,3 +263,24 @@ def test_floor_and_spans(spark):
             taken.append(k)
             last = k
     assert sorted(x.mark for x in reads.emit_spans(m, ["archive"], "mark", 9000).collect()) == taken
+
+
+def test_table_function_and_listing_files(spark, tmp_path):
+    members.register_functions(spark)
+    spark.createDataFrame([("a.tar", make_tar(LINKS)), ("b.tar.gz", gzip.compress(make_tar(LINKS[:3])))], "archive string, content binary").createOrReplaceTempView("archives")
+    got = spark.sql("SELECT archive, e.path, e.offset FROM archives, LATERAL explode_archive(content) e").collect()
+    assert len(got) == len(LINKS) + 3 and next(r.offset for r in got if r.path == "usr/bin/binary") == 1536
+    t = table(spark, make_tar(LINKS[:3]))
+    toc.write_listing(t, f"{tmp_path}/out")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out/archive=a.tar").collect()] == ["512+0: usr", "1024+0: usr/bin", "1536+24: usr/bin/binary"]
+    assert [r.path for r in toc.path_listing(toc.with_root(t)).orderBy("pos").collect()] == [".", "usr", "usr/bin", "usr/bin/binary"]
+
+
+def test_raw_streams():
+    z = zlib.compressobj(9, zlib.DEFLATED, -15, zdict=b"hello world")
+    body = z.compress(b"hello world, hello") + z.flush()
+    assert gzip_index.inflate(body, b"hello world") == b"hello world, hello"
+    assert gzip_index.inflate(zlib.compress(b"x", wbits=-15)) == b"x"
+    for bad in (body[:-3], b"\xff\xff"):
+        with pytest.raises(gzip_index.GzipError):
+            gzip_index.inflate(bad, b"hello world")
