@@ -68,18 +68,19 @@ def feature(text: bytes) -> np.ndarray:
 
 def fit_machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A linear support vector machine by dual coordinate descent; the last weight is the bias's."""
-    x = np.concatenate([x * SCALE, np.ones((len(x), 1))], 1)
-    w, alpha, norm = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1)
+    dots = (x @ x.T).astype(float) * SCALE**2 + 1
+    alpha, reached = np.zeros(len(x)), np.zeros(len(x))
     # Classes of different sizes weigh alike.
     cost = np.where(y > 0, COST * len(y) / (2 * max((y > 0).sum(), 1)), COST * len(y) / (2 * max((y < 0).sum(), 1)))
     rng = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / norm[i], 0.0), cost[i])
+            new = min(max(alpha[i] - (y[i] * reached[i] - 1) / dots[i, i], 0.0), cost[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                reached += (new - alpha[i]) * y[i] * dots[i]
                 alpha[i] = new
-    return w
+    weights = (alpha * y).astype(x.dtype)
+    return np.append((x.T @ weights).astype(float) * SCALE, (alpha * y).sum())
 
 
 @dataclass
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, r.slots, r.values))
-    x = np.zeros((len(rows), DIMENSIONS))
+    x = np.zeros((len(rows), DIMENSIONS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r.slots, "<u2")] = np.frombuffer(r["values"], np.float32)
     return LanguageModel.fit(x, [r.lang for r in rows])
