@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,26 @@ def map_docs(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, ddl)
 
 
+def dictionary_split(texts: list[bytes], at_spaces: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words in the order of their appearance, all words as numbers, and how many each text has.
+
+    Words stand between ASCII white space, and empty ones don't count; with at_spaces, between single spaces, and they do.
+    """
+    flat = pa.array(texts, pa.binary())
+    flat = pa.Array.from_buffers(pa.string(), len(flat), flat.buffers())
+    lists = pc.split_pattern(flat, " ") if at_spaces else pc.ascii_split_whitespace(flat)
+    coded = lists.values.cast(pa.binary()).dictionary_encode()
+    words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    if at_spaces or b"" not in words:
+        return words, which, n
+    empty = words.index(b"")
+    some = which != empty
+    n = np.diff(np.concatenate([[0], np.cumsum(some)])[np.concatenate([[0], np.cumsum(n)])])
+    which = which[some]
+    return words[:empty] + words[empty + 1 :], which - (which > empty), n
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's size (files' bytes for a file scan); 0 if it has none."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -76,7 +76,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
             return out
 
         tokens = 0
-        for group in chunks(rows_of(batches, "doc_id", "text")):
+        for group in chunks(rows_of(batches, "doc_id", "text"), limit=4 << 20):
             ids, stops = coder.encode([t for _, t in group], end_id)
             for (doc_id, _), own in zip(group, np.split(ids, stops[:-1]), strict=True):
                 shard.append((doc_id, own))

@@ -100,13 +100,15 @@ class PieceModel:
 class _Marked:
     """Keys are chunks without their first space."""
 
+    at_spaces = True
+
+    @staticmethod
+    def joined(text: bytes) -> bytes | None:
+        return None if not text or b"  " in text or text[:1] == b" " or text[-1:] == b" " else text
+
     @staticmethod
-    def split(text: bytes) -> list[bytes]:
-        if not text:
-            return []
-        if b"  " in text or text[:1] == b" " or text[-1:] == b" ":
-            return [x[1:] for x in _CHUNKS.findall(b" " + text)]
-        return text.split(b" ")
+    def keys(text: bytes) -> list[bytes]:
+        return [x[1:] for x in _CHUNKS.findall(b" " + text)] if text else []
 
 
 class PieceEncoder(ChunkEncoder):

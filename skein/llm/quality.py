@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import chunks, map_docs, n_parts, rows_of
+from skein.llm.common import chunks, dictionary_split, map_docs, n_parts, rows_of
 from skein.llm.exchange import answer, ask, blob, bucket_of, deal, finish, slices, unblob
 from skein.llm.tables import cut
 
@@ -40,20 +40,10 @@ def _docs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", lang.alias("lang"))
 
 
-class WordTable(dict):
-    """Numbers words in the order of their appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def word_ids(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, the words of all texts as numbers, and where each text's words end."""
-    table, lists = WordTable(), [t.split() for t in texts]
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((i for x in lists for i in map(table.__getitem__, x)), np.int64, int(n.sum()))
-    return list(table), flat, np.cumsum(n)
+    words, which, n = dictionary_split(texts)
+    return words, which, np.cumsum(n)
 
 
 def repeated_words(ids: np.ndarray) -> int:

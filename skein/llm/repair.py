@@ -25,7 +25,7 @@ from skein.llm.common import chunks, doc_bytes, map_docs, n_parts, rows_of
 from skein.llm.tokens import encoder, Spaced
 
 MAGIC = b"SKRP0001"
-ROUNDS, MIN_COUNT, RULES_A_ROUND = 6, 12, 4096
+ROUNDS, MIN_COUNT, RULES_A_ROUND = 6, 12, 5120
 #: Symbols take 16 bits if terminals and rules fit in as many; rules beyond that would cost more than they save.
 SYMBOLS = 1 << 16
 BROADCAST_SHARDS = 1 << 18
@@ -36,22 +36,21 @@ _SLOTS = 1 << 18
 
 def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, per_round: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
     """The final sequence and the rules (an (n, 2) array); rule r is symbol terminals + r and uses earlier symbols only."""
-    seq, rules = ids.astype(np.uint64), []
+    kind, half = (np.uint32, 16) if terminals < SYMBOLS else (np.uint64, 32)
+    seq, rules = ids.astype(kind), []
     top = terminals
     for _ in range(rounds):
-        if len(seq) < 2:
+        room = min(per_round, (1 << half) - top)
+        if len(seq) < 2 or room <= 0:
             break
-        pairs = (seq[:-1] << np.uint64(32)) | seq[1:]
+        pairs = (seq[:-1] << kind(half)) | seq[1:]
         counted = np.sort(pairs)
         at = np.flatnonzero(np.concatenate([[True], counted[1:] != counted[:-1]]))
         n = np.diff(np.append(at, len(counted)))
         frequent = np.flatnonzero(n >= min_count)
         if not len(frequent):
             break
-        room = SYMBOLS - top if terminals < SYMBOLS else per_round
-        best = frequent[np.argsort(-n[frequent], kind="stable")[: min(per_round, room)]]
-        if not len(best):
-            break
+        best = frequent[np.argsort(-n[frequent], kind="stable")[:room]]
         chosen = counted[at[best]]
         # A rule's slot in a table of pairs; where two rules meet, the more frequent one keeps it for this round.
         slot = _slot(chosen)
@@ -67,9 +66,12 @@ def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: i
         new_run = np.concatenate([[True], np.diff(where) > 1])
         start = np.maximum.accumulate(np.where(new_run, where, 0))
         where = where[(where - start) % 2 == 0]
-        used, rank = np.unique(rule[where], return_inverse=True)
-        rules.append(np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], 1))
-        seq[where] = (top + rank).astype(np.uint64)
+        taken = rule[where]
+        used = np.flatnonzero(np.bincount(taken, minlength=len(chosen)))
+        renumbered = np.zeros(len(chosen), np.int64)
+        renumbered[used] = np.arange(len(used))
+        rules.append(np.stack([chosen[used] >> kind(half), chosen[used] & kind((1 << half) - 1)], 1))
+        seq[where] = (top + renumbered[taken]).astype(kind)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq, top = seq[keep], top + len(used)
@@ -77,6 +79,8 @@ def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: i
 
 
 def _slot(pairs: np.ndarray) -> np.ndarray:
+    if pairs.itemsize == 4:
+        return ((pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - 18)).astype(np.int64)
     return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
 
 
@@ -165,7 +169,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             body = encode_shard(doc_ids, lengths, np.concatenate(ids))
             return {"shard": [made], "n_docs": [len(doc_ids)], "n_ids": [sum(lengths)], "body": [body]}
 
-        for group in chunks(rows_of(batches, "doc_id", "text")):
+        for group in chunks(rows_of(batches, "doc_id", "text"), limit=4 << 20):
             got, stops = coder.encode([t for _, t in group], end_id)
             doc_ids += [d for d, _ in group]
             lengths += np.diff(stops, prepend=0).tolist()

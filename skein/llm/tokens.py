@@ -6,18 +6,21 @@ text are the ids of its chunks, one after the other.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from itertools import chain
 
 import numpy as np
 
+from skein.llm.common import dictionary_split
+
 #: A cut before white space is safe behind printable ASCII or behind a two-byte letter (lead bytes C3 to DF: no white space).
 _SPACED = re.compile(rb"(?<=[\x21-\x7e])(?=[ \n\t\r])|(?<=[\xc3-\xdf][\x80-\xbf])(?=[ \n\t\r])")
 #: Bytes that ask for the careful way: control characters, and leads of characters that may be white space.
 _ODD = bytes([*range(9), *range(11, 32), 127, 0xC2, *range(0xE0, 0x100)])
 #: Letters that are letters in every table and stay as they are under NFC.
-_STEM = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_STEM = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: How byte-level tokenizers write bytes as characters: printable ones as themselves, the rest from U+0100 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _AS_CHAR = {b: b for b in _PRINTED} | {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
@@ -26,15 +29,18 @@ _AS_CHAR = {b: b for b in _PRINTED} | {b: 0x100 + i for i, b in enumerate(x for
 class Words:
     """For tokenizers that lower-case and drop white space: words between ASCII white space."""
 
-    split = staticmethod(bytes.split)
+    at_spaces = False
+
+    @staticmethod
+    def joined(text: bytes) -> bytes | None:
+        return text
 
     @staticmethod
     def text(key: bytes) -> str:
         return key.decode("utf-8", "replace")
 
-    @staticmethod
-    def printed(stem: str) -> str:
-        return stem.lower().encode().decode("latin-1").translate(_AS_CHAR)
+    #: What stands before the word of a key that has nothing else before it, and whether the model wants lower case.
+    mark, lower = "", True
 
 
 class Spaced:
@@ -44,23 +50,24 @@ class Spaced:
     itself, any other for a space and itself.
     """
 
+    at_spaces = True
+
     @staticmethod
-    def split(text: bytes) -> list[bytes]:
-        if not text:
-            return []
+    def joined(text: bytes) -> bytes | None:
+        """The keys with spaces between them, unless some white space isn't a single space or line feed between words."""
         if text[:1] in b" \n" or len(text.translate(None, _ODD)) != len(text) or b"  " in text or b"\n\n" in text or b"\n " in text or b" \n" in text:
-            return [b"\0" + x for x in _SPACED.split(text)]
-        keys = text.replace(b"\n", b" \n").split(b" ")
-        keys[0] = b"\0" + keys[0]
-        return keys
+            return None
+        return b"\0" + text.replace(b"\n", b" \n")
+
+    @staticmethod
+    def keys(text: bytes) -> list[bytes]:
+        return [b"\0" + x for x in _SPACED.split(text)] if text else []
 
     @staticmethod
     def text(key: bytes) -> str:
         return (key[1:] if key[:1] == b"\0" else key if key[:1] == b"\n" else b" " + key).decode("utf-8", "replace")
 
-    @staticmethod
-    def printed(stem: str) -> str:
-        return stem.encode().decode("latin-1").translate(_AS_CHAR)
+    mark, lower = chr(_AS_CHAR[32]), False
 
 
 class _Ids(dict):
@@ -91,44 +98,59 @@ class ChunkEncoder:
         self.split, self.most = split, most
         self.start()
         self.stems: dict[str, list[int]] = {}
-        self.tails: dict[str, list[int]] = {"": []}
+        self.tails: dict[str, list[int]] = {}
+        self.heads: dict[bytes, list[int]] = {}
 
     def start(self) -> None:
         self.known, self.flat, self.ends, self.met = _Ids(), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-    def _stem(self, stem: str) -> list[int]:
-        """A run of letters is one word to every pre-tokenizer here, so the model alone gives its ids."""
-        if len(self.stems) > self.most // 2:
-            self.stems.clear()
-        self.stems[stem] = ids = [t.id for t in self.model.tokenize(self.split.printed(stem))]
-        return ids
+        self.lengths = np.zeros(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
+        """A run of letters is one word to every pre-tokenizer here, so the model alone gives its ids; the rest of a chunk,
+        and chunks that don't begin with letters, go through the whole tokenizer."""
         new, self.known.new = self.known.new, []
         got: list = [None] * len(new)
-        plain = []
+        plain: list[tuple[int, str]] = []
+        stems, tails, match, tokenize, lower = self.stems, self.tails, _STEM.match, self.model.tokenize, self.split.lower
+        if len(stems) > self.most // 2:
+            stems.clear()
+        if len(tails) > 50_000:
+            tails.clear()
+        if b"\n" not in self.heads:
+            self.heads[b"\n"] = self._whole(["\n"])[0]
         for i, key in enumerate(new):
-            text = self.split.text(key)
-            m = _STEM.match(text)
+            head, mark = (), self.split.mark
+            if mark and key[:1] in b"\0\n":  # of an empty key too: a lone space
+                head, mark = self.heads.get(key[:1], ()), ""
+            text = key.decode("utf-8", "replace") if mark or lower else key[1:].decode("utf-8", "replace")
+            m = match(text)
             if m is None or (end := m.end()) < len(text) and text[end] > "\x7f":
-                plain.append((i, text))
+                plain.append((i, self.split.text(key)))
                 continue
-            tail = text[end:]
-            if tail not in self.tails:
-                if len(self.tails) > 50_000:
-                    self.tails = {"": []}
-                self.tails[tail] = self._whole([tail])[0]
-            stem = text[:end]
-            got[i] = (self.stems.get(stem) or self._stem(stem)) + self.tails[tail]
+            stem = mark + text[:end]
+            ids = stems.get(stem)
+            if ids is None:
+                shown = text[:end].lower() if lower else text[:end]
+                stems[stem] = ids = [t.id for t in tokenize(mark + (shown if shown.isascii() else shown.encode().decode("latin-1").translate(_AS_CHAR)))]
+            if head:
+                ids = [*head, *ids]
+            if end < len(text):
+                tail = text[end:]
+                if tail not in tails:
+                    tails[tail] = self._whole([tail])[0]
+                ids = ids + tails[tail]
+            got[i] = ids
         for (i, _), ids in zip(plain, self._whole([t for _, t in plain]), strict=True):
             got[i] = ids
         self._add(np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
 
     def _add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        # Where each chunk's ids start, and how many they are.
+        self.ends = np.concatenate([self.ends[:-1], self.ends[-1] + np.cumsum(lengths) - lengths, [self.ends[-1] + lengths.sum()]])
+        self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, flat])
 
     def _forget(self) -> None:
@@ -136,8 +158,9 @@ class ChunkEncoder:
         keep = np.flatnonzero(self.met >= 2)
         if len(keep) > self.most // 2:
             keep = keep[np.argsort(-self.met[keep], kind="stable")[: self.most // 2]]
-        lengths = np.diff(self.ends)[keep]
-        flat = self._gather(keep, lengths)
+        lengths = self.lengths[keep]
+        stops = np.cumsum(lengths)
+        flat = self.flat[np.repeat(self.ends[keep] - (stops - lengths), lengths) + np.arange(stops[-1] if len(stops) else 0)]
         self.start()
         self.met = np.ones(len(keep), np.int64)
         for i in keep.tolist():
@@ -145,29 +168,59 @@ class ChunkEncoder:
         self.known.new = []
         self._add(flat, lengths)
 
-    def _gather(self, which: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        ends = np.cumsum(lengths)
-        return self.flat[np.repeat(self.ends[which] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-
     def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one uint32 array, and the end of each text in it; end_id follows each text if given."""
         if len(self.known) > self.most:
             self._forget()
-        lists = [self.split.split(t) for t in texts]
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
-        if self.known.new:
-            self._learn()
+        collecting = gc.isenabled()
+        gc.disable()  # what is made here are many small lists without cycles
+        try:
+            which, n = self._numbers(texts)
+            if end_id is not None:
+                which = np.insert(which, np.cumsum(n), self._end_key(end_id))
+                n = n + 1
+            if self.known.new:
+                self._learn()
+        finally:
+            if collecting:
+                gc.enable()
         met = np.bincount(which, minlength=len(self.known))
         met[: len(self.met)] += self.met
         self.met = met
-        lengths = self.ends[which + 1] - self.ends[which]
-        ids = self._gather(which, lengths)
-        stops = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(n)] if len(n) else np.zeros(0, np.int64)
-        if end_id is not None:
-            ids = np.insert(ids, stops, end_id).astype(np.uint32)
-            stops = stops + np.arange(1, len(stops) + 1)
-        return ids, stops
+        starts, lengths = self.ends[which], self.lengths[which]
+        stops = np.cumsum(lengths)
+        ids = self.flat[np.repeat(starts - (stops - lengths), lengths) + np.arange(stops[-1] if len(stops) else 0)]
+        return ids, np.concatenate([[0], stops])[np.cumsum(n)] if len(n) else np.zeros(0, np.int64)
+
+    def _numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' chunks as numbers, and how many each text has."""
+        joined = [self.split.joined(t) for t in texts]
+        keys, which, n = dictionary_split([t for t in joined if t is not None], self.split.at_spaces)
+        number = self.known.__getitem__
+        which = np.fromiter(map(number, keys), np.int64, len(keys))[which] if keys else which
+        if len(n) == len(texts):
+            return which, n
+        parts, sizes, at, some = [], [], 0, iter(n.tolist())
+        for text, own in zip(texts, joined, strict=True):
+            if own is None:
+                parts.append(np.fromiter(map(number, self.split.keys(text)), np.int64))
+            else:
+                size = next(some)
+                parts.append(which[at : at + size])
+                at += size
+            sizes.append(len(parts[-1]))
+        return np.concatenate(parts), np.array(sizes, np.int64)
+
+    def _end_key(self, end_id: int) -> int:
+        """The number of a key, unlike any text's, that stands for the end id."""
+        key = ("end", end_id)
+        if key not in self.known:
+            if self.known.new:
+                self._learn()
+            self.known[key]
+            self.known.new.pop()
+            self._add(np.array([end_id], np.uint32), np.array([1], np.int64))
+        return self.known[key]
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}

@@ -68,3 +68,14 @@ def test_pack_documents(spark):
             at += n
         assert at == len(ids)
     assert pack_documents(frame(spark, []), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_dictionary_split():
+    from skein.llm.common import dictionary_split
+
+    texts = [b"", b" ", b"a b", b"  a\n\nb ", b"\x0b\x0cc\r\td", "é x \x1c y".encode(), b"a"]
+    words, which, n = dictionary_split(texts)
+    assert [words[i] for i in which] == [w for t in texts for w in t.split()] and n.tolist() == [len(t.split()) for t in texts]
+    words, which, n = dictionary_split(texts, at_spaces=True)
+    assert [words[i] for i in which] == [w for t in texts for w in t.split(b" ")]
+    assert dictionary_split([])[0] == []

@@ -102,3 +102,12 @@ def test_repeated_words_with_large_numbers():
         ids = [rng.randrange(3) for _ in range(rng.randint(0, 15))]
         want = brute_stats(" ".join(map(str, ids)))[4]
         assert quality.repeated_words(np.array(ids, np.int64)) == want == quality.repeated_words(np.array(ids, np.int64) + (1 << 30))
+
+
+def test_null_and_missing_columns(spark):
+    rows = [(1, "some words here " * 30, None), (None, "other words there " * 30, "en"), (3, None, None), (3, "same id, other text " * 20, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.judge_quality(df).collect()
+    assert len(got) == 4 and {r.lang for r in got} == {"", "en"} and sum(r.doc_id is None for r in got) == 1
+    assert next(r for r in got if r.n_words == 0).base_failed
+    assert quality.judge_quality(df.drop("lang")).count() == 4
