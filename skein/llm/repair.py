@@ -59,9 +59,8 @@ def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: i
         table = np.full(_SLOTS, -1, np.int32)
         table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
         rule = table[_slot(pairs)]
-        hit = rule >= 0
-        hit[hit] = chosen[rule[hit]] == pairs[hit]
-        where = np.flatnonzero(hit)
+        where = np.flatnonzero(rule >= 0)
+        where = where[chosen[rule[where]] == pairs[where]]
         # Of hits in a row, every second one, from the left, is free to be replaced.
         new_run = np.concatenate([[True], np.diff(where) > 1])
         start = np.maximum.accumulate(np.where(new_run, where, 0))

@@ -88,7 +88,7 @@ class ChunkEncoder:
     At most about `most` distinct chunks are remembered; beyond that, those met only once so far are forgotten.
     """
 
-    def __init__(self, path: str, split, most: int = 600_000):
+    def __init__(self, path: str, split, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
