@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from skein.llm.repeats import Spec, find_repeats, hash_bytes, prefix_groups, sorted_suffixes
 
-WINDOW, GRAM, GROUP = 50, 20, 500_000
+WINDOW, GROUP = 50, 250_000
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 

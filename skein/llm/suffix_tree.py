@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 
 from skein.llm.repeats import Spec, find_repeats, hash_words, prefix_groups, sorted_suffixes
 
-WINDOW, GROUP = 50, 100_000
+WINDOW, GROUP = 50, 40_000
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
