@@ -8,7 +8,8 @@ n-grams go to every task; a larger model stays dealt by hash ranges, and parts o
 they hold. Everything is counted: no n-gram, word or document is left out.
 
 A document's perplexity is per predicted character. Each language's band lies around the median of the logarithm, BAND
-mean deviations from the median wide on either side; documents outside are rejected.
+median deviations from the median wide on either side; documents outside are rejected. Languages of fewer than FEW
+documents have no spread to speak of, and a band of at least LEAST_BAND.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from skein.llm.tables import cut
 
 ORDER = 4
 MODEL_ROWS = 3_000_000
-BAND, LEAST_BAND = 8.0, 0.6
+BAND, LEAST_BAND, FEW = 8.0, 0.6, 20
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Fixed values of the rule: what counts as a symbol.
 SYMBOLS = b"#*$%&|<>"
@@ -358,7 +359,8 @@ def _score_in_parts(own: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def bands(scored: DataFrame, band: float = BAND) -> DataFrame:
-    """lang, low, high: bounds of the logarithm of perplexity. A language's rows are first counted in steps of 0.001."""
+    """lang, low, high: bounds of the logarithm of perplexity. A language's rows are first counted in steps of 0.001; a
+    band is at least one step wide on either side."""
     steps = scored.where("n_predicted > 0").select("lang", F.round(-F.col("log_prob") / F.col("n_predicted") * 1000).cast("long").alias("x")).groupBy("lang", "x").agg(F.count("*").alias("n"))
 
     def middle(table: DataFrame, value: str) -> DataFrame:
@@ -366,12 +368,12 @@ def bands(scored: DataFrame, band: float = BAND) -> DataFrame:
 
         w = Window.partitionBy("lang").orderBy(value)
         ranked = table.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy("lang"))})
-        return ranked.where(F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg(F.min(value).alias(f"mid_{value}"))
+        return ranked.where(F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg(F.min(value).alias(f"mid_{value}"), F.max("all").alias("all"))
 
     centre = middle(steps, "x")
-    spread = middle(steps.join(centre, "lang").select("lang", "n", F.abs(F.col("x") - F.col("mid_x")).alias("off")), "off")
-    wide = F.greatest(F.lit(band) * F.col("mid_off"), F.lit(LEAST_BAND * 1000))
-    return centre.join(spread, "lang").select("lang", ((F.col("mid_x") - wide) / 1000).alias("low"), ((F.col("mid_x") + wide) / 1000).alias("high"))
+    spread = middle(steps.join(centre.drop("all"), "lang").select("lang", "n", F.abs(F.col("x") - F.col("mid_x")).alias("off")), "off")
+    wide = F.greatest(F.lit(band) * F.col("mid_off"), F.when(F.col("all") < FEW, F.lit(LEAST_BAND * 1000)).otherwise(F.lit(1.0)))
+    return centre.drop("all").join(spread, "lang").select("lang", ((F.col("mid_x") - wide) / 1000).alias("low"), ((F.col("mid_x") + wide) / 1000).alias("high"))
 
 
 def judge_quality(docs: DataFrame, band: float = BAND, model_rows: int = MODEL_ROWS) -> DataFrame:

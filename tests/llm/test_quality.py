@@ -111,3 +111,12 @@ def test_null_and_missing_columns(spark):
     assert len(got) == 4 and {r.lang for r in got} == {"", "en"} and sum(r.doc_id is None for r in got) == 1
     assert next(r for r in got if r.n_words == 0).base_failed
     assert quality.judge_quality(df.drop("lang")).count() == 4
+
+
+def test_bands_follow_each_languages_spread(spark):
+    rows = [(lang, 100, -100 * (1.5 + wide * (i - 25) / 25)) for lang, wide in (("tight", 0.02), ("loose", 0.2)) for i in range(51)]
+    rows += [("tight", 100, -100 * 1.7), ("one", 100, -100 * 1.23456)]
+    df = spark.createDataFrame(rows, "lang string, n_predicted long, log_prob double")
+    got = {r.lang: (r.low, r.high) for r in quality.bands(df).collect()}
+    assert 1.3 < got["tight"][0] and got["tight"][1] < 1.7 and got["loose"][0] < 0.8 and got["loose"][1] > 2.2
+    assert got["one"][0] < 1.23456 < got["one"][1]
