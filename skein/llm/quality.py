@@ -1,7 +1,9 @@
 """Quality rules with n-gram perplexity (operator 2).
 
-The language model is a character 4-gram model of words in each language, with modified Kneser-Ney smoothing. Tasks
-count the 4-grams of their documents' words, Spark adds the counts up and derives the lower orders' continuation counts,
+The language model is a character 4-gram model of each language's texts, words with one space between, with modified
+Kneser-Ney smoothing. A word's first two characters are predicted from the end of the word before. Tasks count the
+4-grams of their documents: those within words once for each distinct word, those across borders once for each distinct
+pair of a word's end and the next one's beginning. Spark adds the counts up and derives the lower orders' continuation counts,
 the three discounts of each language and order and the interpolated probabilities. The model is a table of all orders'
 n-grams; for scoring it becomes sorted arrays of hashes with log probabilities and back-off weights. Up to MODEL_ROWS
 n-grams go to every task; a larger model stays dealt by hash ranges, and parts of the documents ask for the n-grams that
@@ -32,7 +34,7 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 #: Fixed values of the rule: what counts as a symbol.
 SYMBOLS = b"#*$%&|<>"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-SCORED = f"doc_id long, lang string, {STATS}, n_predicted long, log_prob double"
+SCORED = f"doc_id long, lang string, {STATS}, n_predicted long, log_prob double, text_hash long"
 _BITS = 21
 
 
@@ -91,6 +93,40 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return points[first[:, None] + np.arange(ORDER)], ends
 
 
+def border_grams(grams: np.ndarray, ends: np.ndarray, flat: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 4-grams that predict a word's first two characters from the word before, two rows for each distinct border,
+    and each word's border. grams and ends are word_grams' of the distinct words, flat and stops all texts' words."""
+    blank = np.array([32 << _BITS | 32], np.int64)
+    begin = np.concatenate([[0], ends[:-1]])
+    tails, tail = np.unique(np.concatenate([grams[ends - 1, 1] << _BITS | grams[ends - 1, 2], blank]), return_inverse=True)
+    heads, head = np.unique(grams[begin, 3] << _BITS | grams[begin + 1, 3], return_inverse=True)
+    before = np.concatenate([[len(ends)], flat[:-1]])
+    starts = np.concatenate([[0], stops[:-1]])
+    before[starts[starts < len(flat)]] = len(ends)  # a text's first word has blanks before it
+    pairs, border = np.unique(tail[before] * len(heads) + head[flat], return_inverse=True)
+    x, y = tails[pairs // len(heads)], heads[pairs % len(heads)]
+    low = (1 << _BITS) - 1
+    space = np.full(len(pairs), 32, np.int64)
+    rows = np.stack([x >> _BITS, x & low, space, y >> _BITS, x & low, space, y >> _BITS, y & low], 1)
+    return rows.reshape(-1, ORDER), border
+
+
+def text_grams(words: list[bytes], flat: np.ndarray, stops: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """4-grams: first the distinct words' own, then, if across, two for each distinct border, which take the place of
+    the words' first two. With them: where each word's own end, its number of predicted characters, and each word's border."""
+    if not words:
+        none = np.zeros(0, np.int64)
+        return np.zeros((0, ORDER), np.int64), none, none, none if across else None
+    grams, ends = word_grams(words)
+    size = np.diff(ends, prepend=0)
+    if not across:
+        return grams, ends, size, None
+    rows, border = border_grams(grams, ends, flat, stops)
+    inner = np.ones(len(grams), bool)
+    inner[ends - size] = inner[ends - size + 1] = False
+    return np.concatenate([grams[inner], rows]), np.cumsum(size - 2), size, border
+
+
 def _by_lang(group: list[tuple]) -> dict[str, list[int]]:
     out: dict[str, list[int]] = {}
     for i, (_, _, lang) in enumerate(group):
@@ -123,8 +159,9 @@ def _summed_grams(grams: np.ndarray, times: np.ndarray) -> np.ndarray:
     return np.stack([first[:, 0] << _BITS | first[:, 1], first[:, 2] << _BITS | first[:, 3], np.add.reduceat(times[order], at)], 1)
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, a (the first two characters), b (the last two), n: 4-grams with their counts over all documents."""
+def count_grams(docs: DataFrame, across: bool = False) -> DataFrame:
+    """lang, a (the first two characters), b (the last two), n: 4-grams with their counts over all documents, each word's
+    by itself or, if across, of the whole text."""
 
     def work(batches) -> Iterator[dict]:
         counts: dict[str, list[np.ndarray]] = {}
@@ -143,10 +180,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         for group in chunks(rows_of(batches, "doc_id", "text", "lang")):
             for lang, which in _by_lang(group).items():
-                words, flat, _ = word_ids([group[i][1] for i in which])
+                words, flat, stops = word_ids([group[i][1] for i in which])
                 if words:
-                    grams, ends = word_grams(words)
-                    rows = _summed_grams(grams, np.repeat(np.bincount(flat, minlength=len(words)), np.diff(ends, prepend=0)))
+                    grams, ends, _, border = text_grams(words, flat, stops, across)
+                    times = np.repeat(np.bincount(flat, minlength=len(words)), np.diff(ends, prepend=0))
+                    if border is not None:
+                        times = np.concatenate([times, np.repeat(np.bincount(border), 2)])
+                    rows = _summed_grams(grams, times)
                     counts.setdefault(lang, []).append(rows)
                     held += len(rows)
             if held > 800_000 and (held := merge()) > 600_000:
@@ -264,19 +304,30 @@ class HashModel:
         return out
 
 
-def _score_group(group: list[tuple], score: Callable[[str, list[bytes]], tuple[np.ndarray, np.ndarray]]) -> dict:
-    """Statistics and scores of (doc_id, text, lang) rows; score gives each word's log probability and its 4-grams' number."""
+def _log_sums(log_p: np.ndarray, ends: np.ndarray, border: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """The words' own sums and each border's, from the log probabilities of text_grams' rows."""
+    own = int(ends[-1]) if len(ends) else 0
+    return _sums(log_p[:own], ends), None if border is None else log_p[own:].reshape(-1, 2).sum(1)
+
+
+def _score_group(group: list[tuple], score: Callable[[str, list[bytes], np.ndarray, np.ndarray], tuple]) -> dict:
+    """Statistics and scores of (doc_id, text, lang) rows; score gives each distinct word's log probability, its number of
+    predicted characters, and each border's log probability and each word's border, or None and None."""
+    import xxhash
+
     out = {n: [None] * len(group) for n in [x.split()[0] for x in SCORED.split(", ")]}
     for lang, which in _by_lang(group).items():
         words, flat, stops = word_ids([group[i][1] for i in which])
-        log_p, n = score(lang, words)
+        log_p, n, between, border = score(lang, words, flat, stops)
         for i, a, b in zip(which, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
             ids = flat[a:b]
             doc_id, text, _ = group[i]
             for name, v in zip([x.split()[0] for x in STATS.split(", ")], text_stats(text, ids), strict=True):
                 out[name][i] = v
             out["doc_id"][i], out["lang"][i] = doc_id, lang
-            out["n_predicted"][i], out["log_prob"][i] = int(n[ids].sum()), math.fsum(log_p[ids].tolist())
+            out["text_hash"][i] = (xxhash.xxh64_intdigest(text, 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+            own = log_p[ids].tolist() + ([] if between is None else between[border[a:b]].tolist())
+            out["n_predicted"][i], out["log_prob"][i] = int(n[ids].sum()), math.fsum(own)
     return out
 
 
@@ -285,8 +336,9 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends] - total[np.concatenate([[0], ends[:-1]])] if len(ends) else np.zeros(0)
 
 
-def score_documents(docs: DataFrame, model: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """doc_id, lang, the base statistics, n_predicted characters and the sum of their log probabilities."""
+def score_documents(docs: DataFrame, model: DataFrame, model_rows: int = MODEL_ROWS, across: bool = False) -> DataFrame:
+    """doc_id, lang, the base statistics, n_predicted characters, the sum of their log probabilities, and Spark's xxhash64
+    of the text. across as in count_grams."""
     spark = docs.sparkSession
     own = _docs(docs).select("doc_id", F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("text"), "lang")
     if model.count() <= model_rows:  # 16 bytes each in the arrays
@@ -298,20 +350,19 @@ def score_documents(docs: DataFrame, model: DataFrame, model_rows: int = MODEL_R
         def work(batches) -> Iterator[dict]:
             known = sent.value
 
-            def score(lang, words):
-                if not words:
-                    return np.zeros(0), np.zeros(0, np.int64)
-                grams, ends = word_grams(words)
-                return _sums(known.score(lang, grams), ends), np.diff(ends, prepend=0)
+            def score(lang, words, flat, stops):
+                grams, ends, size, border = text_grams(words, flat, stops, across)
+                log_p, between = _log_sums(known.score(lang, grams), ends, border)
+                return log_p, size, between, border
 
             for group in chunks(rows_of(batches, "doc_id", "text", "lang")):
                 yield _score_group(group, score)
 
         return map_docs(own, work, SCORED)
-    return _score_in_parts(own, model)
+    return _score_in_parts(own, model, across)
 
 
-def _score_in_parts(own: DataFrame, model: DataFrame) -> DataFrame:
+def _score_in_parts(own: DataFrame, model: DataFrame, across: bool) -> DataFrame:
     """The same for a model of any size: every n-gram of a document was counted, so parts look up order 4 only."""
     buckets = n_parts(own)
     dealt = deal(own, buckets, "lang")
@@ -319,11 +370,11 @@ def _score_in_parts(own: DataFrame, model: DataFrame) -> DataFrame:
     def part_grams(rows):
         for lang, which in sorted(_by_lang(rows).items()):
             words, flat, stops = word_ids([rows[i][1] for i in which])
-            grams, ends = word_grams(words) if words else (np.zeros((0, ORDER), np.int64), np.zeros(0, np.int64))
-            yield lang, which, flat, stops, gram_hash(lang, ORDER, grams[:, 0] << _BITS | grams[:, 1], grams[:, 2] << _BITS | grams[:, 3]), ends
+            grams, *found = text_grams(words, flat, stops, across)
+            yield lang, gram_hash(lang, ORDER, grams[:, 0] << _BITS | grams[:, 1], grams[:, 2] << _BITS | grams[:, 3]), found
 
     def keys_of(rows) -> np.ndarray:
-        return np.unique(np.concatenate([x[4] for x in part_grams(rows)]))
+        return np.unique(np.concatenate([x[1] for x in part_grams(rows)]))
 
     def wanted(rows) -> Iterator[tuple[int, bytes]]:
         keys = keys_of(rows)
@@ -350,9 +401,10 @@ def _score_in_parts(own: DataFrame, model: DataFrame) -> DataFrame:
     def scored(rows, blocks) -> dict:
         keys, log_p = keys_of(rows), np.concatenate([unblob(b)[0] for _, b in blocks]) if blocks else np.zeros(0)
         found = {}
-        for lang, which, _, _, hashes, ends in part_grams(rows):
-            found[lang] = (_sums(log_p[np.searchsorted(keys, hashes)].astype(float), ends), np.diff(ends, prepend=0))
-        return _score_group(rows, lambda lang, _: found[lang])
+        for lang, hashes, (ends, size, border) in part_grams(rows):
+            own, between = _log_sums(log_p[np.searchsorted(keys, hashes)].astype(float), ends, border)
+            found[lang] = (own, size, between, border)
+        return _score_group(rows, lambda lang, *_: found[lang])
 
     highest = map_docs(model.where(F.col("k") == ORDER).select("lang", "k", "a", "b", "p", "back"), pieces, "bucket int, part int, body binary")
     return finish(dealt, answer(ask(dealt, wanted).unionByName(highest), looked_up), scored, SCORED)
@@ -377,17 +429,18 @@ def bands(scored: DataFrame, band: float = BAND) -> DataFrame:
 
 
 def judge_quality(docs: DataFrame, band: float = BAND, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_perplexity, low, high, kept.
+    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_perplexity, low, high,
+    kept, text_hash (Spark's xxhash64 of the text).
 
     Null and empty texts have no words, fail the base rule and have a null log_perplexity. A null lang is a language of
     its own, named ''. Repeated rows are judged each by itself. kept is false where base_failed, else whether the
     logarithm of the perplexity lies within its language's band.
     """
-    model = cut(kneser_ney(cut(count_grams(docs), "grams")), "model")
+    model = cut(kneser_ney(cut(count_grams(docs, across=True), "grams")), "model")
     # Every n-gram of these documents was counted, so none falls back to a lower order.
-    scored = cut(score_documents(docs, model.where(F.col("k") == ORDER), model_rows), "scored")
+    scored = cut(score_documents(docs, model.where(F.col("k") == ORDER), model_rows, across=True), "scored")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("log_perplexity", F.when(F.col("n_predicted") > 0, -F.col("log_prob") / F.col("n_predicted")))
     judged = scored.join(bands(scored.where("not base_failed"), band), "lang", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return judged.select("doc_id", "lang", *(x.split()[0] for x in STATS.split(", ")), "base_failed", "log_perplexity", "low", "high", kept.alias("kept"))
+    return judged.select("doc_id", "lang", *(x.split()[0] for x in STATS.split(", ")), "base_failed", "log_perplexity", "low", "high", kept.alias("kept"), "text_hash")

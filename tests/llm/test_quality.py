@@ -120,3 +120,42 @@ def test_bands_follow_each_languages_spread(spark):
     got = {r.lang: (r.low, r.high) for r in quality.bands(df).collect()}
     assert 1.3 < got["tight"][0] and got["tight"][1] < 1.7 and got["loose"][0] < 0.8 and got["loose"][1] > 2.2
     assert got["one"][0] < 1.23456 < got["one"][1]
+
+
+def across_by_hand(texts):
+    grams = Counter()
+    for t in texts:
+        x = "   " + " ".join((t or "").split()) + " "
+        if x.strip():
+            grams.update(x[i : i + 4] for i in range(len(x) - 3))
+    return grams
+
+
+@pytest.mark.parametrize("model_rows", [10**6, 0])
+def test_text_across_word_borders(spark, model_rows):
+    texts = [*TEXTS, "a b cd e", "x", "on the mat sat the cat"]
+    df = frame(spark, texts)
+    counted = quality.count_grams(df, across=True).cache()
+    low = (1 << 21) - 1
+    got = Counter({"".join(chr(v) for v in (r.a >> 21, r.a & low, r.b >> 21, r.b & low)): r.n for r in counted.collect()})
+    assert got == across_by_hand(texts)
+    model = quality.kneser_ney(counted).cache()
+    p = {}
+    for r in model.where("k = 4").collect():
+        p["".join(chr(v) for v in (r.a >> 21, r.a & low, r.b >> 21, r.b & low))] = r.p
+    for r in quality.score_documents(df, model, model_rows, across=True).collect():
+        want = across_by_hand([texts[r.doc_id]])
+        assert r.n_predicted == sum(want.values())
+        assert r.log_prob == pytest.approx(sum(n * math.log(p[g]) for g, n in want.items()), rel=1e-4, abs=1e-6)
+
+
+def test_shuffled_words_are_rejected(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    # Sentences of capital, words and full stop: order shows at the borders.
+    sentence = lambda: (w := [rng.choice(words) for _ in range(6)]) and " ".join([w[0].title(), *w[1:-1], w[-1] + "."])
+    prose = [" ".join(sentence() for _ in range(40)) for _ in range(60)]
+    mixed = " ".join(rng.sample(prose[3].split(), len(prose[3].split())))
+    got = {r.doc_id: r for r in quality.judge_quality(frame(spark, [*prose, mixed])).collect()}
+    assert not got[60].base_failed and not got[60].kept and sum(got[i].kept for i in range(60)) >= 58
+    assert got[60].log_perplexity > got[3].log_perplexity + 0.05
