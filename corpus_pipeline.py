@@ -1,27 +1,33 @@
 """A corpus pipeline over documents: STAGES in order, each one of the training-data operators over all that is left.
 
 Every stage but the last returns the columns of documents. Documents that quality rules reject go; repeated runs of lines
-are deleted; of near duplicates the one with the smallest doc_id stays; words in windows that repeat an earlier document
+are deleted; of near duplicates (five-word shingles, Jaccard similarity 0.8 or more) the one with the smallest doc_id stays; words in windows that repeat an earlier document
 are deleted; what is left is packed into sequences. Texts that lose something stay as documents, even if empty.
 
-Rows that share a doc_id stay or go together. Extra columns are carried along, and n_chars follows a changed text.
+Every row has its own verdict, also where rows share a doc_id or have none: rows are told apart by doc_id and text, and of
+rows that are equal in both, which are near copies, one stays. Extra columns are carried along, and n_chars follows a changed text.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import rest_of, with_text
+from skein.llm.common import LAST_ID, rest_of, with_text
 from skein.llm.line_dedup import remove_repeated_lines
+from skein.llm.near_copies import first_copies
 from skein.llm.packing import pack_documents
 from skein.llm.quality import judge_quality
-from skein.llm.simhash import near_duplicates
 from skein.llm.suffix_tree import remove_repeated_windows
 from skein.llm.tables import cut
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With what tells rows apart: the id (null: last) and a hash of the text."""
+    return docs.withColumns({"_row_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_row_t": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+
+
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     kept = kept.select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept.kept_id), "left_semi")
@@ -36,7 +42,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_duplicates(docs).where("doc_id <=> component_id"))
+    first = first_copies(docs).select(F.col("d").alias("_row_d"), F.col("t").alias("_row_t"))
+    own = _keyed(docs).join(first, ["_row_d", "_row_t"], "left_semi")
+    equal = Window.partitionBy("_row_d", "_row_t").orderBy("_row_t")
+    return own.withColumn("_row_n", F.row_number().over(equal)).where("_row_n = 1").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
