@@ -28,13 +28,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_row_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_row_t": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    kept = kept.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept.kept_id), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, judge_quality(docs).where("kept"))
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    kept = judge_quality(docs).where("kept").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_row_d"), F.col("text_hash").alias("_row_t"), F.col("lang").alias("_row_lang"))
+    return _keyed(docs).withColumn("_row_lang", lang).join(kept, ["_row_d", "_row_t", "_row_lang"], "left_semi").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

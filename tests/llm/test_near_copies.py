@@ -58,3 +58,18 @@ def test_likely_pairs_in_cells():
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
     a, b = near_copies.likely_pairs(node, value, np.array([0, 1, 1, 0]), label, sketch)
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 3), (4, 1), (4, 3)]
+
+
+def test_rows_with_one_id_or_none_are_judged_each_by_itself(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("bdfgk") + rng.choice("aeiou") for _ in range(2)) for _ in range(200)]
+    good = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(30)]
+    rows = [(None, good[0], "en"), (None, "too short", "en"), (7, good[1], "en"), (7, "short as well", "en"), *((100 + i, t, "en") for i, t in enumerate(good[2:]))]
+    left = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect() if (r.doc_id or 0) < 100) == [(0, good[0]), (7, good[1])]
+    rows = [(None, good[0]), (None, good[0] + " more"), (None, good[0]), (5, good[1]), (5, good[1]), (5, good[2]), (6, good[2] + " more"), (6, good[3])]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert len(got) == 4 and sorted(got[i][0] or 0 for i in range(4)) == [0, 5, 5, 6]
+    assert (5, good[2]) in got and (6, good[3]) in got and (5, good[1]) in got
+    assert corpus_pipeline.near_dedup(spark, frame(spark, []), "").count() == 0
