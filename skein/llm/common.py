@@ -7,6 +7,8 @@ other document. Rows that share a doc_id are separate documents, neither of whic
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -75,6 +77,7 @@ def map_docs(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
     def run(batches):
         for columns in work(batches):
             yield batch(schema, columns)
+        trim()
 
     return df.mapInArrow(run, ddl)
 
@@ -99,17 +102,29 @@ def dictionary_split(texts: list[bytes], at_spaces: bool = False) -> tuple[list[
     return words[:empty] + words[empty + 1 :], which - (which > empty), n
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size (files' bytes for a file scan); 0 if it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 55 else 0
+def text_bytes(docs: DataFrame) -> int:
+    """UTF-8 bytes of all texts, counted: what is stored may be compressed many times over."""
+    return int(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0)
 
 
-def n_parts(df: DataFrame, part_bytes: int = 4 << 20) -> int:
-    """How many parts of about `part_bytes` stored bytes the documents make."""
-    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = input_bytes(df)
-    return max(1, math.ceil(size / part_bytes)) if size else few
+def n_parts(docs: DataFrame, part_bytes: int = 6 << 20) -> int:
+    """How many parts of about `part_bytes` bytes of text the documents make."""
+    return max(1, math.ceil(text_bytes(docs) / part_bytes))
+
+
+def trim() -> None:
+    """Gives memory that is free again back to the system, so that reused workers stay as small as their present work."""
+    pa.default_memory_pool().release_unused()
+    if (free := _libc()) is not None:
+        free(0)
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
 
 
 def rest_of(docs: DataFrame):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import arrow_schema, doc_bytes
+from skein.llm.common import arrow_schema, doc_bytes, trim
 
 #: bucket and part: where a block goes and where it comes from, or the other way round.
 BLOCK = "bucket int, part int, body binary"
@@ -69,6 +69,11 @@ def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.int32()), pa.array(body, pa.binary())], schema=_SCHEMA)
 
 
+def _trimmed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    trim()
+    return _table(rows)
+
+
 def _blocks(table: pa.Table, by: str) -> list[tuple[int, bytes]]:
     return sorted(zip(table.column(by).to_pylist(), table.column("body").to_pylist(), strict=True), key=lambda x: x[0])
 
@@ -89,7 +94,7 @@ def ask(dealt: DataFrame, work: Callable[[list[tuple]], Iterator[tuple[int, byte
     names = _names(dealt)
 
     def run(key, table):
-        return _table([(b, key[0].as_py(), body) for b, body in work(_texts(table, names)[0])])
+        return _trimmed([(b, key[0].as_py(), body) for b, body in work(_texts(table, names)[0])])
 
     return dealt.groupBy("part").applyInArrow(run, BLOCK)
 
@@ -98,7 +103,7 @@ def answer(blocks: DataFrame, work: Callable[[list[tuple[int, bytes]]], Iterator
     """Blocks for parts, made from each bucket's blocks."""
 
     def run(key, table):
-        return _table([(key[0].as_py(), p, body) for p, body in work(_blocks(table, "part"))])
+        return _trimmed([(key[0].as_py(), p, body) for p, body in work(_blocks(table, "part"))])
 
     return blocks.groupBy("bucket").applyInArrow(run, BLOCK)
 
@@ -108,7 +113,7 @@ def ask_again(dealt: DataFrame, answers: DataFrame, work: Callable[[list[tuple],
     names = _names(dealt)
 
     def run(key, texts, got):
-        return _table([(b, key[0].as_py(), body) for b, body in work(_texts(texts, names)[0], _blocks(got, "bucket"))])
+        return _trimmed([(b, key[0].as_py(), body) for b, body in work(_texts(texts, names)[0], _blocks(got, "bucket"))])
 
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, BLOCK)
 
@@ -121,6 +126,8 @@ def finish(dealt: DataFrame, answers: DataFrame, work: Callable[[list[tuple], li
         rows, order = _texts(texts, names)
         columns = work(rows, _blocks(got, "bucket"))
         out = pa.Table.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+        del columns, rows
+        trim()
         return out.append_column("rest", texts.column("rest").take(pa.array(order, pa.int64()))) if rest else out
 
     kind = T.StructType([*T._parse_datatype_string(ddl).fields, *([dealt.schema["rest"]] if rest else [])])

@@ -1,11 +1,14 @@
 """Windows of a fixed number of units (bytes or words) that also start in an earlier document, over all documents.
 
-Each window has an anchor: of the `gram`-unit stretches in it, the one with the lowest hash. Equal windows have equal
-anchors, so only windows whose anchor stands in two documents or more can repeat. Parts ask for the anchors they hold;
-then they send the stretches of text around shared anchors, each distinct stretch once with the smallest doc_id it has
-there. A bucket holds all stretches around its anchors, and judges all their windows by a suffix structure of the
-caller's choice: is there an equal window in an earlier document than the stretch's first? Parts mark what these
-windows cover. Nothing is dropped on the way: anchors only rule out windows that cannot repeat.
+Of all suffixes only some are kept as samples, so that every window holds one: each window has an anchor, of the
+`gram`-unit stretches in it the one with the lowest hash, and equal windows have equal anchors. The sampled suffixes are
+partitioned by prefixes of varying length. At first a prefix is the anchor itself; parts ask which of the prefixes that
+they hold stand in two documents or more, for windows around others can't repeat. A prefix that more than HOT parts hold
+is made longer, to the right for windows that reach as far behind the anchor and to the left for the others, until it is
+half a window more. Then parts send the stretches of text around shared prefixes, each distinct stretch once with the
+smallest doc_id it has there. A bucket holds all stretches around its prefixes, and judges all their windows by a suffix
+structure of the caller's choice: is there an equal window in an earlier document than the stretch's first? Parts mark
+what these windows cover. Nothing is dropped on the way, and what is compared in a bucket are the units, not their hashes.
 """
 
 from __future__ import annotations
@@ -14,13 +17,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 
-from skein.llm.common import LAST_ID, n_parts
+from skein.llm.common import LAST_ID, dictionary_split, n_parts
 from skein.llm.exchange import answer, ask, ask_again, blob, bucket_of, deal, finish, slices, unblob
 
 #: Units hashed at once; what numpy holds for them is some hundred bytes a unit at most.
-STRETCH = 1 << 18
+STRETCH = 1 << 17
+#: A prefix in more parts than this is made longer. A bucket gets a stretch once from each part that holds it.
+HOT = 256
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -66,24 +72,66 @@ def hash_words(units: np.ndarray, gram: int) -> np.ndarray:
         size *= 2
 
 
+class Bytes:
+    """Texts as bytes."""
+
+    dtype, hashes = "u1", staticmethod(hash_bytes)
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b"".join(texts)
+        self.units = np.frombuffer(self.data, np.uint8)
+        self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+
+    def cut(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        """Units a[i] to b[i] as bytes."""
+        return [self.data[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+
+    @staticmethod
+    def parse(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The units of stretches as cut() gave them, and how many each has."""
+        return np.frombuffer(b"".join(stretches), np.uint8), np.fromiter(map(len, stretches), np.int64, len(stretches))
+
+
+class Words:
+    """Texts as words between white space. Units are hashes for the anchors, and numbers of distinct words in a bucket."""
+
+    dtype, hashes = "u8", staticmethod(hash_words)
+
+    def __init__(self, texts: list[bytes]):
+        self.words, self.which, n = dictionary_split(texts)
+        self.units = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))[self.which]
+        self.ends = np.cumsum(n)
+        self.data = None
+
+    def cut(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        if self.data is None:
+            self.data = b" ".join(map(self.words.__getitem__, self.which.tolist()))
+            sizes = np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1
+            self.starts = np.concatenate([[0], np.cumsum(sizes[self.which])])
+        return [self.data[i:j] for i, j in zip(self.starts[a].tolist(), (self.starts[b] - 1).tolist(), strict=True)]
+
+    @staticmethod
+    def parse(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        _, which, n = dictionary_split(stretches, at_spaces=True)
+        return which.astype(np.uint32), n
+
+
 @dataclass
 class Spec:
     """What a unit is, how long a window is, and how a bucket judges windows."""
 
-    units: Callable[[bytes], np.ndarray]
-    dtype: str
-    hashes: Callable[[np.ndarray, int], np.ndarray]
+    kind: type
     window: int
     gram: int
     #: (units of all stretches, each window's start, the rank of the document of each window) -> which windows stand in an earlier document
     judge: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
-def anchors(units: np.ndarray, ends: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first window, last window, the anchor's hash."""
+def anchors(units: np.ndarray, ends: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: first window, last window, the anchor's hash and place."""
     k, w = spec.gram, spec.window
     starts = np.concatenate([[0], ends[:-1]])
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     doc = 0
     while doc < len(ends):
         last = max(doc + 1, int(np.searchsorted(ends, starts[doc] + STRETCH, "right")))
@@ -92,8 +140,8 @@ def anchors(units: np.ndarray, ends: np.ndarray, spec: Spec) -> tuple[np.ndarray
         doc = last
         if len(own) < w:
             continue
-        h = spec.hashes(own, k)
-        bits = np.uint64(max(1, int(len(h)).bit_length()))
+        h = spec.kind.hashes(own, k)
+        bits = np.uint64(32)  # the same in all documents, so that equal windows choose alike; of ties the leftmost
         least = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
         span, have = w - k + 1, 1
         while have * 2 <= span:
@@ -107,11 +155,13 @@ def anchors(units: np.ndarray, ends: np.ndarray, spec: Spec) -> tuple[np.ndarray
         at = np.flatnonzero(whole)
         if not len(at):
             continue
-        of = least[at] & ((np.uint64(1) << bits) - np.uint64(1))
+        of = (least[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)]))
-        found.append((at[new] + a, at[np.append(new[1:], len(at)) - 1] + a, h[of[new].astype(np.int64)]))
+        # The lowest hashes are anchors, so they are spread over all values again.
+        found.append((at[new] + a, at[np.append(new[1:], len(at)) - 1] + a, _mixed(h[of[new]] * _B + _C), of[new] + a))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64), none
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -119,12 +169,11 @@ class Part:
     """A part's documents as one array of units, with its anchors."""
 
     def __init__(self, rows: list[tuple], spec: Spec):
-        each = [spec.units(r[1]) for r in rows]
-        self.spec = spec
-        self.ends = np.cumsum([len(x) for x in each], dtype=np.int64)
-        self.units = np.concatenate(each) if each else np.zeros(0, spec.dtype)
+        self.spec, self.texts = spec, spec.kind([r[1] for r in rows])
+        self.ends, self.n_units = self.texts.ends, len(self.texts.units)
         self.ids = np.array([LAST_ID if r[0] is None else r[0] for r in rows], np.int64)
-        self.first, self.last, self.hash = anchors(self.units, self.ends, spec)
+        self.first, self.last, self.hash, self.place = anchors(self.texts.units, self.ends, spec)
+        self.texts.units = None
         self.doc = np.searchsorted(self.ends, self.first, "right")
         order = np.argsort(self.hash, kind="stable")
         ranked = self.hash[order]
@@ -136,35 +185,53 @@ class Part:
         docs = self.doc[order]
         self.many = np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at) if len(at) else np.zeros(0, bool)
 
-    def stretches(self, shared: np.ndarray, buckets: int):
-        """Distinct stretches around shared anchors, by bucket: runs that hold one, each one's number, and the stretches
-        as (bucket, length, smallest doc_id, bytes)."""
+    def stretches(self, shared: np.ndarray, hot: np.ndarray, buckets: int):
+        """Distinct stretches around shared anchors, by bucket: runs' first window, its document, each run's stretch, and the
+        stretches as (bucket, smallest doc_id, bytes)."""
         runs = np.flatnonzero(shared[self.key]) if len(self.key) else np.zeros(0, np.int64)
-        data, size, w = self.units.tobytes(), self.units.itemsize, self.spec.window
-        known: dict[bytes, int] = {}
-        a, b = (self.first[runs] * size).tolist(), ((self.last[runs] + w) * size).tolist()
-        number = np.fromiter((known.setdefault(data[i:j], len(known)) for i, j in zip(a, b, strict=True)), np.int64, len(runs))
+        first, last, doc, where = self.first[runs], self.last[runs], self.doc[runs], self.hash[runs]
+        w, k = self.spec.window, self.spec.gram
+        if len(over := np.flatnonzero(hot[self.key[runs]])):
+            long = (w + k + 1) // 2
+            edge = self.place[runs[over]] + long - w  # windows from here on hold the longer prefix to the right
+            right, left = over[last[over] >= edge], over[first[over] < edge]
+            to_right, to_left = edge[last[over] >= edge], edge[first[over] < edge]
+            at = self.place[runs]
+            grams = self.texts.cut(at[right], at[right] + long) + [b"\0" + x for x in self.texts.cut(at[left] + k - long, at[left] + k)]
+            rest = np.setdiff1d(np.arange(len(runs)), over)
+            which = np.concatenate([rest, right, left])
+            longer = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams))
+            first = np.concatenate([first[rest], np.maximum(first[right], to_right), first[left]])
+            last = np.concatenate([last[rest], last[right], np.minimum(last[left], to_left - 1)])
+            doc, where = doc[which], np.concatenate([where[rest], longer])
+        # Equal stretches with different prefixes go to different buckets.
+        known: dict[tuple[int, bytes], int] = {}
+        bucket_ = bucket_of(where, buckets).astype(np.int64)
+        texts = self.texts.cut(first, last + w)
+        number = np.fromiter((known.setdefault(x, len(known)) for x in zip(bucket_.tolist(), texts, strict=True)), np.int64, len(texts))
         least = np.full(len(known), LAST_ID, np.int64)
-        np.minimum.at(least, number, self.ids[self.doc[runs]])
-        bucket = np.zeros(len(known), np.int64)
-        bucket[number] = bucket_of(self.hash[runs], buckets).astype(np.int64)
+        np.minimum.at(least, number, self.ids[doc])
+        bucket = np.fromiter((b for b, _ in known), np.int64, len(known))
         order = np.argsort(bucket, kind="stable")
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
-        texts = list(known)
-        return runs, back[number], bucket[order], least[order], [texts[i] for i in order.tolist()]
+        distinct = [t for _, t in known]
+        return first, doc, back[number], bucket[order], least[order], [distinct[i] for i in order.tolist()]
 
 
-def _shared_bits(blocks: list[tuple[int, bytes]], part: Part, buckets: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+def _bits(blocks: list[tuple[int, bytes]], part: Part, buckets: int) -> tuple[np.ndarray, np.ndarray, dict[int, list[np.ndarray]]]:
+    """Which of a part's keys are shared, which are hot, and both as they came, by bucket."""
     got = dict(blocks)
-    out, bits = [], {}
+    shared, hot, bits = [], [], {}
     for bucket, a, b in slices(bucket_of(part.keys, buckets)):
-        bits[bucket] = unblob(got[bucket])[-1]
-        out.append(np.unpackbits(bits[bucket], count=b - a).astype(bool))
-    return np.concatenate(out) if out else np.zeros(0, bool), bits
+        bits[bucket] = unblob(got[bucket])[-2:]
+        for out, x in zip((shared, hot), bits[bucket], strict=True):
+            out.append(np.unpackbits(x, count=b - a).astype(bool))
+    none = np.zeros(0, bool)
+    return np.concatenate([none, *shared]), np.concatenate([none, *hot]), bits
 
 
-def find_repeats(docs: DataFrame, spec: Spec, result: Callable[[list[tuple], np.ndarray, np.ndarray], dict], ddl: str, rest: Column | None = None, part_bytes: int = 2 << 20) -> DataFrame:
+def find_repeats(docs: DataFrame, spec: Spec, result: Callable[[list[tuple], np.ndarray, np.ndarray], dict], ddl: str, rest: Column | None = None, part_bytes: int = 3 << 20, hot: int = HOT) -> DataFrame:
     """result(rows, ends, covered) for each part: its documents, where each one's units end, and which units are covered."""
     parts = buckets = n_parts(docs, part_bytes)
     dealt = deal(docs, parts) if rest is None else deal(docs, parts, rest)
@@ -177,28 +244,29 @@ def find_repeats(docs: DataFrame, spec: Spec, result: Callable[[list[tuple], np.
 
     def shared(blocks) -> Iterator[tuple[int, bytes]]:
         got = [(p, *unblob(body)) for p, body in blocks]
-        keys = np.sort(np.concatenate([np.unique(k) for _, k, _ in got]))
-        twice = keys[1:][keys[1:] == keys[:-1]]
-        own = [k[np.unpackbits(m, count=len(k)).astype(bool)] for _, k, m in got]
-        twice = np.unique(np.concatenate([twice, *own]))
+        keys, n = np.unique(np.concatenate([np.unique(k) for _, k, _ in got]), return_counts=True)
+        own = np.unique(np.concatenate([k[np.unpackbits(m, count=len(k)).astype(bool)] for _, k, m in got]))
+        twice = n > 1
+        twice[np.searchsorted(keys, own)] = True
+        many = n > hot
         for p, k, _ in got:
-            at = np.minimum(np.searchsorted(twice, k), max(len(twice) - 1, 0))
-            yield p, blob(np.packbits(twice[at] == k if len(twice) else np.zeros(len(k), bool)))
+            at = np.searchsorted(keys, k)
+            yield p, blob(np.packbits(twice[at]), np.packbits(many[at]))
 
     def stretches(rows, blocks) -> Iterator[tuple[int, bytes]]:
         part = Part(rows, spec)
-        mask, bits = _shared_bits(blocks, part, buckets)
-        _, _, bucket, least, texts = part.stretches(mask, buckets)
+        mask, over, bits = _bits(blocks, part, buckets)
+        _, _, _, bucket, least, texts = part.stretches(mask, over, buckets)
         spans = {b: (i, j) for b, i, j in slices(bucket)}
-        for b, own in bits.items():  # the answer comes back with what is needed to know the stretches again
+        none = np.zeros(0, np.uint8)
+        for b in sorted({*bits, *spans}):  # the answer comes back with what is needed to know the stretches again
             i, j = spans.get(b, (0, 0))
-            yield b, blob(own, np.array([len(t) for t in texts[i:j]], np.uint32), least[i:j], np.frombuffer(b"".join(texts[i:j]), np.uint8))
+            yield b, blob(*bits.get(b, (none, none)), np.array([len(t) for t in texts[i:j]], np.uint32), least[i:j], np.frombuffer(b"".join(texts[i:j]), np.uint8))
 
     def judged(blocks) -> Iterator[tuple[int, bytes]]:
-        item = np.dtype(spec.dtype).itemsize
         got, known, least = [], {}, []
         for p, body in blocks:
-            bits, lengths, ids, data = unblob(body)
+            *bits, lengths, ids, data = unblob(body)
             data, number, at = data.tobytes(), [], 0
             for n, d in zip(lengths.tolist(), ids.tolist(), strict=True):
                 i = known.setdefault(data[at : at + n], len(known))
@@ -212,42 +280,44 @@ def find_repeats(docs: DataFrame, spec: Spec, result: Callable[[list[tuple], np.
         first = np.array(least, np.int64)
         order = np.argsort(first, kind="stable")  # in the order of the documents
         texts = list(known)
-        lengths = np.array([len(texts[i]) // item for i in order.tolist()], np.int64)
-        units = np.frombuffer(b"".join(texts[i] for i in order.tolist()), spec.dtype)
-        del known, texts
+        units, lengths = spec.kind.parse([texts[i] for i in order.tolist()])
+        del known, texts, least
         windows = lengths - spec.window + 1
         ends = np.cumsum(windows)
-        starts = np.repeat(np.cumsum(lengths) - lengths - (ends - windows), windows) + np.arange(ends[-1] if len(ends) else 0)
-        _, rank = np.unique(first[order], return_inverse=True)
+        kind = np.int32 if len(units) < 1 << 31 else np.int64
+        starts = np.repeat((np.cumsum(lengths) - lengths - (ends - windows)).astype(kind), windows) + np.arange(ends[-1] if len(ends) else 0, dtype=kind)
+        rank = np.unique(first[order], return_inverse=True)[1].astype(kind)
         earlier = spec.judge(units, starts, np.repeat(rank, windows), spec.window) if len(starts) else np.zeros(0, bool)
+        del starts
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         for p, bits, number in got:
             at = place[number]
             n = windows[at]
             flat = np.repeat((ends - windows)[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            yield p, blob(first[number], np.packbits(earlier[flat]), bits)
+            yield p, blob(first[number], np.packbits(earlier[flat]), *bits)
 
     def covered(rows, blocks) -> dict:
         part = Part(rows, spec)
-        mask, _ = _shared_bits(blocks, part, buckets)
-        runs, number, bucket, _, texts = part.stretches(mask, buckets)
-        got, item, w = dict(blocks), part.units.itemsize, spec.window
-        windows = np.array([len(t) // item - w + 1 for t in texts], np.int64)
+        mask, over, _ = _bits(blocks, part, buckets)
+        start, doc, number, bucket, _, texts = part.stretches(mask, over, buckets)
+        got, w = dict(blocks), spec.window
+        _, lengths = spec.kind.parse(texts)
+        windows = lengths - w + 1
         first, earlier = [], []
         for b, i, j in slices(bucket):
-            ids, flags, _ = unblob(got[b])
+            ids, flags, *_ = unblob(got[b])
             first.append(ids)
             earlier.append(np.unpackbits(flags, count=int(windows[i:j].sum())))
-        cover = np.zeros(len(part.units), bool)
-        if len(runs):
+        cover = np.zeros(part.n_units, bool)
+        if len(start):
             first, earlier = np.concatenate(first), np.concatenate(earlier).astype(bool)
             n = windows[number]
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             out = earlier[np.repeat((np.cumsum(windows) - windows)[number], n) + step]
-            out |= np.repeat(part.ids[part.doc[runs]] > first[number], n)
-            begun = np.zeros(len(part.units) + 1, np.int32)
-            begun[1:][(np.repeat(part.first[runs], n) + step)[out]] = 1
+            out |= np.repeat(part.ids[doc] > first[number], n)
+            begun = np.zeros(part.n_units + 1, np.int32)
+            begun[1:][(np.repeat(start, n) + step)[out]] = 1
             begun = np.cumsum(begun, dtype=np.int32)
             cover = begun[1:] > begun[np.maximum(np.arange(len(cover)) - w + 1, 0)]
         return result(rows, part.ends, cover)
@@ -283,6 +353,22 @@ def prefix_groups(keys: Callable[[np.ndarray, int], np.ndarray], n: int, most: i
         stack += made[::-1]
 
 
+def previous_smaller(value: np.ndarray) -> np.ndarray:
+    """For each place the nearest earlier place with a smaller value, or -1."""
+    at = np.arange(len(value)) - 1
+    open_ = np.flatnonzero((at >= 0) & (value[at] >= value))
+    while len(open_):
+        at[open_] = at[at[open_]]
+        t = at[open_]
+        open_ = open_[(t >= 0) & (value[t] >= value[open_])]
+    return at
+
+
+def next_smaller(value: np.ndarray) -> np.ndarray:
+    """For each place the nearest later place with a smaller value, or the number of places."""
+    return len(value) - 1 - previous_smaller(value[::-1])[::-1]
+
+
 def sorted_suffixes(units: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes, cut after `window` units (bytes or big-endian), in order, and each one's common prefix with the one before."""
     rows = np.lib.stride_tricks.sliding_window_view(units, window)[starts]

@@ -1,9 +1,10 @@
 """Repeated word windows by prefix-partitioned suffix trees (operator 5).
 
-Suffixes are split by prefixes of varying length, each just long enough for its group to fit in memory. A group's
-subtree is held as its leaves in lexicographic order and the common prefixes between neighbours; an internal node of
-depth d is a maximal stretch of leaves with common prefixes of d or more. The nodes at or below the window's depth are
-the repeats; a leaf is removed if its node also has a leaf of a smaller document.
+Suffixes are split by prefixes of varying length: between tasks as repeats.py says, and in a task each just long enough
+for its group to fit in memory. A group's subtree is held as its leaves in lexicographic order and the common prefixes
+between neighbours; an internal node of depth d is a maximal stretch of leaves with common prefixes of d or more. Leaves
+end after a window, so the deep nodes, of a window's depth, are the repeats; a leaf is removed if its node also has a leaf
+of a smaller document.
 """
 
 from __future__ import annotations
@@ -11,48 +12,35 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 
-from skein.llm.repeats import Spec, find_repeats, hash_words, prefix_groups, sorted_suffixes
+from skein.llm.repeats import Spec, Words, find_repeats, next_smaller, prefix_groups, previous_smaller, sorted_suffixes
 
 WINDOW, GROUP = 50, 40_000
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
-class _Hashes(dict):
-    """64-bit word hashes, each worked out once."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    words = text.split()  # for bytes: space and \x09 to \x0d
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
-def deep_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last leaf of each internal node that is highest among those of this depth or more."""
-    joined = np.concatenate([common[1:] >= depth, [False]])
-    before = np.concatenate([[False], joined[:-1]])
-    return np.flatnonzero(joined & ~before), np.flatnonzero(~joined & before)
+def internal_nodes(common: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Depth, first and last leaf of the subtree's internal nodes of depth `least` or more, in the order of their leaves."""
+    at = np.flatnonzero(common >= least)
+    runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []
+    flat = np.concatenate([np.concatenate([[least - 1], common[x]]) for x in runs]) if runs else common[:0]
+    # Each run of deep neighbours has a smaller value before it and behind it.
+    place = np.concatenate([np.concatenate([[x[0] - 1], x]) for x in runs]) if runs else at
+    inner = np.flatnonzero(flat >= least)
+    first, stop = previous_smaller(flat)[inner], next_smaller(flat)[inner]
+    _, one = np.unique(first * (len(flat) + 1) + stop, return_index=True)
+    return flat[inner[one]], place[first[one]], place[stop[one] - 1]
 
 
 def judge(units: np.ndarray, starts: np.ndarray, rank: np.ndarray, window: int) -> np.ndarray:
     out = np.zeros(len(starts), bool)
-    units = np.unique(units, return_inverse=True)[1].astype(">u4")
+    units = units.astype(">u4")
     for own in prefix_groups(lambda s, i: units[starts[s] + i], len(starts), GROUP, window):
         order, common = sorted_suffixes(units, starts[own], window)
         leaf_rank = rank[own[order]]
-        first, last = deep_nodes(common, window)
+        _, first, last = internal_nodes(common, window)
         if len(first):
             least = np.minimum.reduceat(leaf_rank, np.stack([first, last + 1], 1).ravel()[: 2 * len(first) - (last[-1] + 1 >= len(order))])[::2]
             at = np.repeat(first - np.concatenate([[0], np.cumsum(last - first + 1)[:-1]]), last - first + 1) + np.arange(int((last - first + 1).sum()))
@@ -90,7 +78,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int | N
 
     Every word covered by a window of `window` words that also starts in a document with a smaller doc_id is removed.
     Null and empty texts have no words; rows with one doc_id don't remove each other's words; rows with a null doc_id
-    come after all others. Words are compared by 64-bit hashes, window by window.
+    come after all others.
     """
-    spec = Spec(word_hashes, "u8", hash_words, window, gram or max(1, window // 5), judge)
+    spec = Spec(Words, window, gram or max(1, window // 5), judge)
     return find_repeats(docs, spec, _result, KEPT, rest)

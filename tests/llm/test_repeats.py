@@ -1,4 +1,3 @@
-import hashlib
 import random
 
 import numpy as np
@@ -37,9 +36,10 @@ def corpus(seed=0):
     return texts
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_bytes(spark, parts, monkeypatch):
+@pytest.mark.parametrize(("parts", "hot"), [(1, 256), (5, 256), (5, 1)])
+def test_bytes(spark, parts, hot, monkeypatch):
     monkeypatch.setattr(repeats, "n_parts", lambda *a: parts)
+    monkeypatch.setattr(repeats.find_repeats, "__defaults__", (None, 1, hot))
     texts = corpus()
     got = {r.doc_id: r for r in suffix_array.remove_repeated_bytes(clash(frame(spark, texts))).collect()}
     assert len(got) == len(texts)
@@ -49,9 +49,10 @@ def test_bytes(spark, parts, monkeypatch):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept) == (len(u), sum(cover), spans, kept), i
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_words(spark, parts, monkeypatch):
+@pytest.mark.parametrize(("parts", "hot"), [(1, 256), (5, 256), (5, 1)])
+def test_words(spark, parts, hot, monkeypatch):
     monkeypatch.setattr(repeats, "n_parts", lambda *a: parts)
+    monkeypatch.setattr(repeats.find_repeats, "__defaults__", (None, 1, hot))
     texts = corpus(1)
     got = {r.doc_id: r for r in suffix_tree.remove_repeated_windows(clash(frame(spark, texts))).collect()}
     words = [(t or "").encode().split() for t in texts]
@@ -89,7 +90,7 @@ def test_judges_agree_with_brute_force(docs, window, small):
     want = []
     for s, r in zip(starts.tolist(), rank.tolist(), strict=True):
         want.append(first.setdefault(tuple(flat[s : s + window]), r) < r)
-    for module, kind in ((suffix_array, "u1"), (suffix_tree, "u8")):
+    for module, kind in ((suffix_array, "u1"), (suffix_tree, "u4")):
         old, module.GROUP = module.GROUP, 3 if small else module.GROUP
         try:
             assert module.judge(np.array(flat, kind), starts, rank, window).tolist() == want
@@ -99,16 +100,54 @@ def test_judges_agree_with_brute_force(docs, window, small):
 
 def test_anchors_cover_every_window_and_follow_the_text():
     rng = np.random.default_rng(0)
-    for spec in (repeats.Spec(None, "u1", repeats.hash_bytes, 50, 20, None), repeats.Spec(None, "u8", repeats.hash_words, 50, 10, None)):
-        text = rng.integers(0, 4, 400).astype(spec.dtype)
+    for spec in (repeats.Spec(repeats.Bytes, 50, 20, None), repeats.Spec(repeats.Words, 50, 10, None)):
+        text = rng.integers(0, 4, 400).astype(spec.kind.dtype)
         both = np.concatenate([text[:170], text[100:300], text[:49]])
         ends = np.array([170, 370, 419])
-        first, last, h = repeats.anchors(both, ends, spec)
+        first, last, h, place = repeats.anchors(both, ends, spec)
+        assert (place >= last).all() and (place + spec.gram <= first + 50).all()
         of = {i: x for a, b, x in zip(first.tolist(), last.tolist(), h.tolist(), strict=True) for i in range(a, b + 1)}
         assert sorted(of) == [*range(121), *range(170, 321)]
         assert all(of[100 + i] == of[170 + i] for i in range(21))
 
 
-def test_digest_of_kept_words():
+def test_kept_words():
     cover = np.array([False, True, True, False])
-    assert suffix_tree._without(b"a  b\tc \n d ", cover).split() == [b"a", b"d"] and hashlib.sha256(b"a d").hexdigest()
+    assert suffix_tree._without(b"a  b\tc \n d ", cover) == b"a  d "
+
+
+suffixes = st.lists(st.text("ab", min_size=6, max_size=6).map(str.encode), min_size=1, max_size=24)
+
+
+def in_order(rows):
+    """The rows in order, each one's common prefix with the one before."""
+    units = np.frombuffer(b"".join(rows), np.uint8)
+    order, common = repeats.sorted_suffixes(units, np.arange(0, len(units), 6), 6)
+    return [rows[i] for i in order], order, common
+
+
+def shared_prefix(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+
+
+@settings(max_examples=100, deadline=None)
+@given(suffixes, st.data())
+def test_longest_previous_factors(rows, data):
+    ranked, order, common = in_order(rows)
+    value = np.array(data.draw(st.lists(st.integers(0, 5), min_size=len(rows), max_size=len(rows))))
+    want = [max((shared_prefix(x, y) for y, w in zip(ranked, value, strict=True) if w < v), default=0) for x, v in zip(ranked, value, strict=True)]
+    assert suffix_array.longest_previous(common, value).tolist() == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(suffixes, st.integers(1, 6))
+def test_internal_nodes(rows, least):
+    ranked, _, common = in_order(rows)
+    want = set()
+    for depth in range(least, 7):
+        for prefix in {x[:depth] for x in ranked}:
+            own = [i for i, x in enumerate(ranked) if x.startswith(prefix)]
+            if len(own) > 1 and (depth == 6 or len({ranked[i][depth] for i in own}) > 1):
+                want.add((depth, own[0], own[-1]))
+    found = list(zip(*(x.tolist() for x in suffix_tree.internal_nodes(common, least)), strict=True))
+    assert sorted(found) == sorted(want)
