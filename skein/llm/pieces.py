@@ -112,12 +112,13 @@ class _Marked:
 
 
 class PieceEncoder(ChunkEncoder):
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 60 << 20):
         self.pieces, self.split, self.most = PieceModel(path), _Marked, most
         self.start()
 
     def _learn(self) -> None:
         new, self.known.new = self.known.new, []
+        self.key_bytes += sum(map(len, new))
         got = []
         for key in new:
             lines = (" " + key.decode("utf-8", "replace")).split("\n")  # a line feed is spelled as a byte, whatever is around it

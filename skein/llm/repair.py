@@ -2,7 +2,8 @@
 
 Documents are dealt to shards by ascending doc_id. Within a shard, frequent pairs of neighbouring symbols are replaced
 by nonterminals, round after round: each round counts all pairs, takes the most frequent ones as rules and replaces
-their occurrences from the left. The shard stores the rules, each rule's expansion length and the final sequence, so any
+their occurrences from the left. As it stands, that stops where symbols no longer fit 16 bits, and leaves rare pairs; the
+exact form goes on until no pair repeats. The shard stores the rules, each rule's expansion length and the final sequence, so any
 range of ids can be decoded by a search in the running expansion lengths, without decoding what is before it.
 
 Shard format, little-endian: MAGIC, then seven u64 (documents, ids, terminals, rules, sequence length, bytes a symbol,
@@ -34,12 +35,18 @@ IDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _SLOTS = 1 << 18
 
 
-def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, per_round: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
-    """The final sequence and the rules (an (n, 2) array); rule r is symbol terminals + r and uses earlier symbols only."""
-    kind, half = (np.uint32, 16) if terminals < SYMBOLS else (np.uint64, 32)
+def compress(ids: np.ndarray, terminals: int, exact: bool = False, rounds: int = ROUNDS, min_count: int = MIN_COUNT, per_round: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
+    """The final sequence and the rules (an (n, 2) array); rule r is symbol terminals + r and uses earlier symbols only.
+
+    exact: with 32-bit symbols, until no pair is left that could be replaced twice, whatever rounds and min_count say.
+    """
+    kind, half = (np.uint32, 16) if terminals < SYMBOLS and not exact else (np.uint64, 32)
     seq, rules = ids.astype(kind), []
-    top = terminals
-    for _ in range(rounds):
+    top, done = terminals, 0
+    if exact:
+        min_count = 2
+    while exact or done < rounds:
+        done += 1
         room = min(per_round, (1 << half) - top)
         if len(seq) < 2 or room <= 0:
             break
@@ -62,9 +69,16 @@ def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: i
         where = np.flatnonzero(rule >= 0)
         where = where[chosen[rule[where]] == pairs[where]]
         # Of hits in a row, every second one, from the left, is free to be replaced.
-        new_run = np.concatenate([[True], np.diff(where) > 1])
-        start = np.maximum.accumulate(np.where(new_run, where, 0))
-        where = where[(where - start) % 2 == 0]
+        where = where[_apart(where)]
+        if exact:
+            where = where[(np.bincount(rule[where], minlength=len(chosen)) >= 2)[rule[where]]]
+            if not len(where):  # what pairs take from each other, or from themselves; try them one by one
+                order = np.argsort(-n[frequent], kind="stable")
+                alone = (np.flatnonzero(pairs == counted[at[frequent[i]]]) for i in order)
+                where = next((w for x in alone if len(w := x[_apart(x)]) >= 2), None)
+                if where is None:
+                    break
+                chosen, rule = pairs[where[:1]], np.zeros(len(pairs), np.int32)
         taken = rule[where]
         used = np.flatnonzero(np.bincount(taken, minlength=len(chosen)))
         renumbered = np.zeros(len(chosen), np.int64)
@@ -77,15 +91,21 @@ def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: i
     return seq, np.concatenate(rules).astype(np.int64) if rules else np.zeros((0, 2), np.int64)
 
 
+def _apart(where: np.ndarray) -> np.ndarray:
+    """Of places in a row, every second one."""
+    start = np.maximum.accumulate(np.where(np.diff(where, prepend=-2) > 1, where, 0))
+    return (where - start) % 2 == 0
+
+
 def _slot(pairs: np.ndarray) -> np.ndarray:
     if pairs.itemsize == 4:
         return ((pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - 18)).astype(np.int64)
     return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
 
 
-def encode_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def encode_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, exact: bool = False) -> bytes:
     terminals = int(ids.max(initial=0)) + 1
-    seq, rules = compress(ids, terminals)
+    seq, rules = compress(ids, terminals, exact)
     sizes = [1] * len(rules)
     for r, (a, b) in enumerate(rules.tolist()):
         sizes[r] = (sizes[a - terminals] if a >= terminals else 1) + (sizes[b - terminals] if b >= terminals else 1)
@@ -150,9 +170,11 @@ class Shard:
         return pool[np.repeat(first[self.seq] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, exact: bool = False) -> None:
     """Writes every document's ids (null text: only end_id) to shards under path, in ascending doc_id order.
 
+    exact: each shard's grammar to its end; else frequent pairs only, as many as 16-bit symbols hold.
+
     Null doc_ids come last; rows with one doc_id come in the order of their texts. An empty table writes no shard.
     """
     order = [F.col("doc_id").asc_nulls_last()]
@@ -165,7 +187,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         made = TaskContext.get().partitionId() << 20
 
         def flush() -> dict:
-            body = encode_shard(doc_ids, lengths, np.concatenate(ids))
+            body = encode_shard(doc_ids, lengths, np.concatenate(ids), exact)
             return {"shard": [made], "n_docs": [len(doc_ids)], "n_ids": [sum(lengths)], "body": [body]}
 
         for group in chunks(rows_of(batches, "doc_id", "text"), limit=4 << 20):

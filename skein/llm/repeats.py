@@ -92,30 +92,48 @@ class Bytes:
         return np.frombuffer(b"".join(stretches), np.uint8), np.fromiter(map(len, stretches), np.int64, len(stretches))
 
 
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
 class Words:
     """Texts as words between white space. Units are hashes for the anchors, and numbers of distinct words in a bucket."""
 
     dtype, hashes = "u8", staticmethod(hash_words)
 
     def __init__(self, texts: list[bytes]):
-        self.words, self.which, n = dictionary_split(texts)
-        self.units = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))[self.which]
-        self.ends = np.cumsum(n)
-        self.data = None
+        words, which, n = dictionary_split(texts)
+        self.units, self.ends, self.texts = word_hashes(words)[which], np.cumsum(n), texts
 
     def cut(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
-        if self.data is None:
-            self.data = b" ".join(map(self.words.__getitem__, self.which.tolist()))
-            sizes = np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1
-            self.starts = np.concatenate([[0], np.cumsum(sizes[self.which])])
-        return [self.data[i:j] for i, j in zip(self.starts[a].tolist(), (self.starts[b] - 1).tolist(), strict=True)]
+        """With the white space between the words as it is."""
+        if self.texts is not None:
+            self.data, self.texts = b"\n".join(self.texts), None
+            edge = np.diff(_SPACE[np.frombuffer(self.data, np.uint8)].view(np.int8), prepend=1, append=1)
+            self.starts, self.stops = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+        return [self.data[i:j] for i, j in zip(self.starts[a].tolist(), self.stops[b - 1].tolist(), strict=True)]
 
     @staticmethod
     def parse(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        _, which, n = dictionary_split(stretches, at_spaces=True)
+        _, which, n = dictionary_split(stretches)
         return which.astype(np.uint32), n
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, eight bytes of all words at a time."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(words) + bytes(8), np.uint8)
+    out, at, left = size.astype(np.uint64) * _A, np.arange(len(words)), size
+    mask = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    while len(at):
+        eight = np.lib.stride_tricks.sliding_window_view(data, 8)[start[at]].copy().view("<u8").ravel() & mask[np.minimum(left, 8)]
+        out[at] = _mixed((out[at] ^ eight * _B) * _A + _C)
+        start[at] += 8
+        more = left > 8
+        at, left = at[more], left[more] - 8
+    return out
+
+
 @dataclass
 class Spec:
     """What a unit is, how long a window is, and how a bucket judges windows."""
@@ -187,7 +205,7 @@ class Part:
 
     def stretches(self, shared: np.ndarray, hot: np.ndarray, buckets: int):
         """Distinct stretches around shared anchors, by bucket: runs' first window, its document, each run's stretch, and the
-        stretches as (bucket, smallest doc_id, bytes)."""
+        stretches as (bucket, smallest doc_id, windows, bytes)."""
         runs = np.flatnonzero(shared[self.key]) if len(self.key) else np.zeros(0, np.int64)
         first, last, doc, where = self.first[runs], self.last[runs], self.doc[runs], self.hash[runs]
         w, k = self.spec.window, self.spec.gram
@@ -215,8 +233,10 @@ class Part:
         order = np.argsort(bucket, kind="stable")
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
+        windows = np.zeros(len(known), np.int64)
+        windows[number] = last - first + 1
         distinct = [t for _, t in known]
-        return first, doc, back[number], bucket[order], least[order], [distinct[i] for i in order.tolist()]
+        return first, doc, back[number], bucket[order], least[order], windows[order], [distinct[i] for i in order.tolist()]
 
 
 def _bits(blocks: list[tuple[int, bytes]], part: Part, buckets: int) -> tuple[np.ndarray, np.ndarray, dict[int, list[np.ndarray]]]:
@@ -256,7 +276,7 @@ def find_repeats(docs: DataFrame, spec: Spec, result: Callable[[list[tuple], np.
     def stretches(rows, blocks) -> Iterator[tuple[int, bytes]]:
         part = Part(rows, spec)
         mask, over, bits = _bits(blocks, part, buckets)
-        _, _, _, bucket, least, texts = part.stretches(mask, over, buckets)
+        _, _, _, bucket, least, _, texts = part.stretches(mask, over, buckets)
         spans = {b: (i, j) for b, i, j in slices(bucket)}
         none = np.zeros(0, np.uint8)
         for b in sorted({*bits, *spans}):  # the answer comes back with what is needed to know the stretches again
@@ -300,10 +320,8 @@ def find_repeats(docs: DataFrame, spec: Spec, result: Callable[[list[tuple], np.
     def covered(rows, blocks) -> dict:
         part = Part(rows, spec)
         mask, over, _ = _bits(blocks, part, buckets)
-        start, doc, number, bucket, _, texts = part.stretches(mask, over, buckets)
+        start, doc, number, bucket, _, windows, _ = part.stretches(mask, over, buckets)
         got, w = dict(blocks), spec.window
-        _, lengths = spec.kind.parse(texts)
-        windows = lengths - w + 1
         first, earlier = [], []
         for b, i, j in slices(bucket):
             ids, flags, *_ = unblob(got[b])
@@ -374,7 +392,7 @@ def sorted_suffixes(units: np.ndarray, starts: np.ndarray, window: int) -> tuple
     rows = np.lib.stride_tricks.sliding_window_view(units, window)[starts]
     order = np.argsort(np.ascontiguousarray(rows).view(f"S{window * rows.itemsize}").ravel(), kind="stable")
     rows = rows[order]
-    common = np.zeros(len(order), np.int64)
+    common = np.zeros(len(order), np.int16 if window < 1 << 15 else np.int64)
     differ = rows[1:] != rows[:-1]
     common[1:] = np.where(differ.any(1), differ.argmax(1), window)
     return order, common

@@ -24,10 +24,9 @@ _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 def internal_nodes(common: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Depth, first and last leaf of the subtree's internal nodes of depth `least` or more, in the order of their leaves."""
     at = np.flatnonzero(common >= least)
-    runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []
-    flat = np.concatenate([np.concatenate([[least - 1], common[x]]) for x in runs]) if runs else common[:0]
     # Each run of deep neighbours has a smaller value before it and behind it.
-    place = np.concatenate([np.concatenate([[x[0] - 1], x]) for x in runs]) if runs else at
+    runs = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    flat, place = np.insert(common[at], runs, least - 1), np.insert(at, runs, at[runs] - 1)
     inner = np.flatnonzero(flat >= least)
     first, stop = previous_smaller(flat)[inner], next_smaller(flat)[inner]
     _, one = np.unique(first * (len(flat) + 1) + stop, return_index=True)

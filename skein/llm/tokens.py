@@ -19,11 +19,9 @@ from skein.llm.common import dictionary_split
 _SPACED = re.compile(rb"(?<=[\x21-\x7e])(?=[ \n\t\r])|(?<=[\xc3-\xdf][\x80-\xbf])(?=[ \n\t\r])")
 #: Bytes that ask for the careful way: control characters, and leads of characters that may be white space.
 _ODD = bytes([*range(9), *range(11, 32), 127, 0xC2, *range(0xE0, 0x100)])
-#: Letters that are letters in every table and stay as they are under NFC.
-_STEM = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: How byte-level tokenizers write bytes as characters: printable ones as themselves, the rest from U+0100 on.
-_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_AS_CHAR = {b: b for b in _PRINTED} | {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
+#: Keys whose texts can follow each other: nothing in them is changed but by lower-casing, which keeps the number of bytes.
+_PLAIN = re.compile(rb"\n?(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_TOGETHER = 4096
 
 
 class Words:
@@ -39,8 +37,8 @@ class Words:
     def text(key: bytes) -> str:
         return key.decode("utf-8", "replace")
 
-    #: What stands before the word of a key that has nothing else before it, and whether the model wants lower case.
-    mark, lower = "", True
+    #: What stands before a key's text, and whether it counts among the bytes of its tokens.
+    before, counts = b" ", False
 
 
 class Spaced:
@@ -67,7 +65,7 @@ class Spaced:
     def text(key: bytes) -> str:
         return (key[1:] if key[:1] == b"\0" else key if key[:1] == b"\n" else b" " + key).decode("utf-8", "replace")
 
-    mark, lower = chr(_AS_CHAR[32]), False
+    before, counts = b" ", True
 
 
 class _Ids(dict):
@@ -85,67 +83,67 @@ class _Ids(dict):
 class ChunkEncoder:
     """encode(texts) gives the ids of many texts at once and where each text's ids end.
 
-    At most about `most` distinct chunks are remembered; beyond that, those met only once so far are forgotten.
+    At most about `most` bytes of distinct chunks and their ids are remembered; beyond that, those met only once so far are
+    forgotten.
+
+    New chunks are tokenized many at once, as one text. The tokens of the tokenizers here are bytes of the text, so the
+    running number of bytes shows where each chunk's ids end; where it doesn't, chunks are tokenized one by one.
     """
 
-    def __init__(self, path: str, split, most: int = 800_000):
+    def __init__(self, path: str, split, most: int = 90 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        vocabulary = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():  # byte-level tokens have a character for each byte
+            self.token_bytes[i] = len(token.removesuffix("</w>"))
         self.split, self.most = split, most
         self.start()
-        self.stems: dict[str, list[int]] = {}
-        self.tails: dict[str, list[int]] = {}
-        self.heads: dict[bytes, list[int]] = {}
 
     def start(self) -> None:
         self.known, self.flat, self.ends, self.met = _Ids(), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
+        self.key_bytes = 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def held_bytes(self) -> int:
+        """About what the remembered chunks take: a key's object, its number, its entry in the table, and its ids."""
+        return self.key_bytes + 150 * len(self.known) + 4 * len(self.flat)
+
     def _learn(self) -> None:
-        """A run of letters is one word to every pre-tokenizer here, so the model alone gives its ids; the rest of a chunk,
-        and chunks that don't begin with letters, go through the whole tokenizer."""
         new, self.known.new = self.known.new, []
-        got: list = [None] * len(new)
-        plain: list[tuple[int, str]] = []
-        stems, tails, match, tokenize, lower = self.stems, self.tails, _STEM.match, self.model.tokenize, self.split.lower
-        if len(stems) > self.most // 2:
-            stems.clear()
-        if len(tails) > 50_000:
-            tails.clear()
-        if b"\n" not in self.heads:
-            self.heads[b"\n"] = self._whole(["\n"])[0]
-        for i, key in enumerate(new):
-            head, mark = (), self.split.mark
-            if mark and key[:1] in b"\0\n":  # of an empty key too: a lone space
-                head, mark = self.heads.get(key[:1], ()), ""
-            text = key.decode("utf-8", "replace") if mark or lower else key[1:].decode("utf-8", "replace")
-            m = match(text)
-            if m is None or (end := m.end()) < len(text) and text[end] > "\x7f":
-                plain.append((i, self.split.text(key)))
-                continue
-            stem = mark + text[:end]
-            ids = stems.get(stem)
-            if ids is None:
-                shown = text[:end].lower() if lower else text[:end]
-                stems[stem] = ids = [t.id for t in tokenize(mark + (shown if shown.isascii() else shown.encode().decode("latin-1").translate(_AS_CHAR)))]
-            if head:
-                ids = [*head, *ids]
-            if end < len(text):
-                tail = text[end:]
-                if tail not in tails:
-                    tails[tail] = self._whole([tail])[0]
-                ids = ids + tails[tail]
-            got[i] = ids
-        for (i, _), ids in zip(plain, self._whole([t for _, t in plain]), strict=True):
-            got[i] = ids
-        self._add(np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+        self.key_bytes += sum(map(len, new))
+        plain = np.fromiter((_PLAIN.fullmatch(k) is not None for k in new), bool, len(new))
+        together, alone = [k for k, p in zip(new, plain.tolist(), strict=True) if p], [k for k, p in zip(new, plain.tolist(), strict=True) if not p]
+        each = [self._together(together[i : i + _TOGETHER]) for i in range(0, len(together), _TOGETHER)] + [self._alone(alone)]
+        flat, lengths = (np.concatenate(x) for x in zip(*each, strict=True))
+        # Back in the order of the new keys.
+        order = np.empty(len(new), np.int64)
+        order[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(new))
+        stops = np.cumsum(lengths)
+        starts, lengths = (stops - lengths)[order], lengths[order]
+        stops = np.cumsum(lengths)
+        self._add(flat[np.repeat(starts - (stops - lengths), lengths) + np.arange(stops[-1] if len(stops) else 0)], lengths)
+
+    def _alone(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = self._whole([self.split.text(k) for k in keys])
+        return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _together(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        before, counts = self.split.before, self.split.counts
+        text = b"".join([k if k[:1] == b"\n" else before + k for k in keys])
+        sizes = [len(k) + (counts and k[:1] != b"\n") for k in keys]
+        ids = np.array(self._whole([text.decode()])[0], np.uint32)
+        got, want = np.cumsum(self.token_bytes[ids]), np.cumsum(sizes)
+        at = np.searchsorted(got, want)
+        if not len(got) or got[-1] != want[-1] or (got[at] != want).any() or not self.token_bytes[ids].all():
+            return self._alone(keys)
+        return ids, np.diff(at + 1, prepend=0)
 
     def _add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
         # Where each chunk's ids start, and how many they are.
@@ -156,8 +154,8 @@ class ChunkEncoder:
     def _forget(self) -> None:
         keys = list(self.known)
         keep = np.flatnonzero(self.met >= 2)
-        if len(keep) > self.most // 2:
-            keep = keep[np.argsort(-self.met[keep], kind="stable")[: self.most // 2]]
+        if len(keep) > len(keys) // 2:
+            keep = keep[np.argsort(-self.met[keep], kind="stable")[: len(keys) // 2]]
         lengths = self.lengths[keep]
         stops = np.cumsum(lengths)
         flat = self.flat[np.repeat(self.ends[keep] - (stops - lengths), lengths) + np.arange(stops[-1] if len(stops) else 0)]
@@ -165,12 +163,13 @@ class ChunkEncoder:
         self.met = np.ones(len(keep), np.int64)
         for i in keep.tolist():
             self.known[keys[i]]
+            self.key_bytes += len(keys[i])
         self.known.new = []
         self._add(flat, lengths)
 
     def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one uint32 array, and the end of each text in it; end_id follows each text if given."""
-        if len(self.known) > self.most:
+        if self.held_bytes() > self.most:
             self._forget()
         collecting = gc.isenabled()
         gc.disable()  # what is made here are many small lists without cycles
@@ -227,7 +226,8 @@ _encoders: dict[tuple, ChunkEncoder] = {}
 
 
 def encoder(path: str, split) -> ChunkEncoder:
-    """This process's encoder; a reused Python worker keeps what it knows from task to task."""
+    """This process's encoder; a reused Python worker keeps what it knows from task to task, but of one tokenizer only."""
     if (path, split) not in _encoders:
+        _encoders.clear()
         _encoders[path, split] = ChunkEncoder(path, split)
     return _encoders[path, split]

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from tokenizers import Tokenizer
 
 from skein.llm.repair import Shard, compress, encode_shard, read_shards, write_shards
@@ -47,3 +48,27 @@ def test_empty_table(spark):
     path = shared_path(spark, "shards")
     write_shards(frame(spark, []), path, P.path("byte_bpe_50k.json"))
     assert read_shards(spark, path).count() == 0
+
+
+def repeats(seq):
+    """Pairs that could be replaced twice."""
+    found, last = {}, {}
+    for i, pair in enumerate(zip(seq, seq[1:])):
+        if last.get(pair, -2) < i - 1:
+            found[pair], last[pair] = found.get(pair, 0) + 1, i
+    return [p for p, n in found.items() if n > 1]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_exact_grammars_leave_no_pair_that_repeats(seed):
+    rng = np.random.default_rng(seed)
+    ids = rng.integers(0, 2 + 3 * (seed % 4), 700 if seed else 0).astype(np.uint32)
+    terminals = int(ids.max(initial=0)) + 1
+    seq, rules = compress(ids, terminals, exact=True)
+    assert not repeats(seq.tolist())
+    assert len(ids) < 9 or len(seq) + 2 * len(rules) < len(ids)
+    body = encode_shard([1], [len(ids)], ids, exact=True)
+    shard = Shard.parse(body)
+    assert shard.all().tolist() == ids.tolist()
+    for start, length in ((0, 5), (300, 40), (690, 10)):
+        assert shard.read(start, length).tolist() == ids[start : start + length].tolist()
