@@ -9,9 +9,11 @@ n-grams; for scoring it becomes sorted arrays of hashes with log probabilities a
 n-grams go to every task; a larger model stays dealt by hash ranges, and parts of the documents ask for the n-grams that
 they hold. Everything is counted: no n-gram, word or document is left out.
 
-A document's perplexity is per predicted character. Each language's band lies around the median of the logarithm, BAND
-median deviations from the median wide on either side; documents outside are rejected. Languages of fewer than FEW
-documents have no spread to speak of, and a band of at least LEAST_BAND.
+A document has a perplexity per predicted character and one per word. The first shows text in an order or with characters
+that the language doesn't have; the second also shows words that carry more than words do, such as symbols stuck to them,
+which are cheap by the character once they are met often. Each language has a band for either, around the median of the
+logarithm, BAND median deviations from the median wide on either side; documents outside one of them are rejected.
+Languages of fewer than FEW documents have no spread to speak of, and bands of at least LEAST_BAND.
 """
 
 from __future__ import annotations
@@ -410,37 +412,46 @@ def _score_in_parts(own: DataFrame, model: DataFrame, across: bool) -> DataFrame
     return finish(dealt, answer(ask(dealt, wanted).unionByName(highest), looked_up), scored, SCORED)
 
 
+#: The logarithms of perplexity, with their bounds' names and what they are the average of.
+_MEASURES = {"log_perplexity": ("low", "high", "n_predicted"), "log_perplexity_word": ("low_word", "high_word", "n_words")}
+
+
 def bands(scored: DataFrame, band: float = BAND) -> DataFrame:
-    """lang, low, high: bounds of the logarithm of perplexity. A language's rows are first counted in steps of 0.001; a
-    band is at least one step wide on either side."""
-    steps = scored.where("n_predicted > 0").select("lang", F.round(-F.col("log_prob") / F.col("n_predicted") * 1000).cast("long").alias("x")).groupBy("lang", "x").agg(F.count("*").alias("n"))
+    """lang, low, high, low_word, high_word: bounds of the logarithms of perplexity per character and per word. A language's
+    rows are first counted in steps of 0.001; a band is at least one step wide on either side."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.round(-F.col("log_prob") / F.col(n) * 1000).cast("long").alias("x")) for m, (_, _, n) in _MEASURES.items()))).alias("m")
+    steps = scored.where("n_predicted > 0 and n_words > 0").select("lang", each).select("lang", "m.*").groupBy("lang", "measure", "x").agg(F.count("*").alias("n"))
+    by = ["lang", "measure"]
 
     def middle(table: DataFrame, value: str) -> DataFrame:
         from pyspark.sql import Window
 
-        w = Window.partitionBy("lang").orderBy(value)
-        ranked = table.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy("lang"))})
-        return ranked.where(F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg(F.min(value).alias(f"mid_{value}"), F.max("all").alias("all"))
+        w = Window.partitionBy(*by).orderBy(value)
+        ranked = table.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy(*by))})
+        return ranked.where(F.col("upto") * 2 >= F.col("all")).groupBy(*by).agg(F.min(value).alias(f"mid_{value}"), F.max("all").alias("all"))
 
     centre = middle(steps, "x")
-    spread = middle(steps.join(centre.drop("all"), "lang").select("lang", "n", F.abs(F.col("x") - F.col("mid_x")).alias("off")), "off")
+    spread = middle(steps.join(centre.drop("all"), by).select(*by, "n", F.abs(F.col("x") - F.col("mid_x")).alias("off")), "off")
     wide = F.greatest(F.lit(band) * F.col("mid_off"), F.when(F.col("all") < FEW, F.lit(LEAST_BAND * 1000)).otherwise(F.lit(1.0)))
-    return centre.drop("all").join(spread, "lang").select("lang", ((F.col("mid_x") - wide) / 1000).alias("low"), ((F.col("mid_x") + wide) / 1000).alias("high"))
+    bounds = centre.drop("all").join(spread, by).select(*by, ((F.col("mid_x") - wide) / 1000).alias("low"), ((F.col("mid_x") + wide) / 1000).alias("high"))
+    return bounds.groupBy("lang").agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(name) for m, names in _MEASURES.items() for side, name in zip(("low", "high"), names[:2], strict=True)))
 
 
 def judge_quality(docs: DataFrame, band: float = BAND, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_perplexity, low, high,
-    kept, text_hash (Spark's xxhash64 of the text).
+    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_perplexity (per
+    character), log_perplexity_word, their bounds low, high, low_word and high_word, kept, text_hash (Spark's xxhash64 of
+    the text).
 
-    Null and empty texts have no words, fail the base rule and have a null log_perplexity. A null lang is a language of
+    Null and empty texts have no words, fail the base rule and have null perplexities. A null lang is a language of
     its own, named ''. Repeated rows are judged each by itself. kept is false where base_failed, else whether the
-    logarithm of the perplexity lies within its language's band.
+    logarithms of both perplexities lie within their language's bands.
     """
     model = cut(kneser_ney(cut(count_grams(docs, across=True), "grams")), "model")
     # Every n-gram of these documents was counted, so none falls back to a lower order.
     scored = cut(score_documents(docs, model.where(F.col("k") == ORDER), model_rows, across=True), "scored")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed).withColumn("log_perplexity", F.when(F.col("n_predicted") > 0, -F.col("log_prob") / F.col("n_predicted")))
+    scored = scored.withColumn("base_failed", failed).withColumns({m: F.when(F.col(n) > 0, -F.col("log_prob") / F.col(n)) for m, (_, _, n) in _MEASURES.items()})
     judged = scored.join(bands(scored.where("not base_failed"), band), "lang", "left")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return judged.select("doc_id", "lang", *(x.split()[0] for x in STATS.split(", ")), "base_failed", "log_perplexity", "low", "high", kept.alias("kept"), "text_hash")
+    within = [F.coalesce(F.col(m).between(F.col(low), F.col(high)), F.lit(False)) for m, (low, high, _) in _MEASURES.items()]
+    bounds = [x for names in _MEASURES.values() for x in names[:2]]
+    return judged.select("doc_id", "lang", *(x.split()[0] for x in STATS.split(", ")), "base_failed", *_MEASURES, *bounds, (~F.col("base_failed") & within[0] & within[1]).alias("kept"), "text_hash")

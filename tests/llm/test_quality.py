@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -114,10 +115,12 @@ def test_null_and_missing_columns(spark):
 
 
 def test_bands_follow_each_languages_spread(spark):
-    rows = [(lang, 100, -100 * (1.5 + wide * (i - 25) / 25)) for lang, wide in (("tight", 0.02), ("loose", 0.2)) for i in range(51)]
-    rows += [("tight", 100, -100 * 1.7), ("one", 100, -100 * 1.23456)]
-    df = spark.createDataFrame(rows, "lang string, n_predicted long, log_prob double")
+    rows = [(lang, 100, 20, -100 * (1.5 + wide * (i - 25) / 25)) for lang, wide in (("tight", 0.02), ("loose", 0.2)) for i in range(51)]
+    rows += [("tight", 100, 20, -100 * 1.7), ("one", 100, 20, -100 * 1.23456)]
+    df = spark.createDataFrame(rows, "lang string, n_predicted long, n_words long, log_prob double")
     got = {r.lang: (r.low, r.high) for r in quality.bands(df).collect()}
+    by_word = {r.lang: (r.low_word, r.high_word) for r in quality.bands(df).collect()}
+    assert 6.5 < by_word["tight"][0] < 7.5 < by_word["tight"][1] < 8.5 and by_word["one"][0] < 6.1728 < by_word["one"][1]
     assert 1.3 < got["tight"][0] and got["tight"][1] < 1.7 and got["loose"][0] < 0.8 and got["loose"][1] > 2.2
     assert got["one"][0] < 1.23456 < got["one"][1]
 
@@ -159,3 +162,14 @@ def test_shuffled_words_are_rejected(spark):
     got = {r.doc_id: r for r in quality.judge_quality(frame(spark, [*prose, mixed])).collect()}
     assert not got[60].base_failed and not got[60].kept and sum(got[i].kept for i in range(60)) >= 58
     assert got[60].log_perplexity > got[3].log_perplexity + 0.05
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_rejected_documents_are_mostly_of_low_quality(spark):
+    """Against labels, which the operator never sees: of what passes the base rule, most of the low quality goes and
+    nearly all of the high quality stays."""
+    at = "/root/testdata/sf0.01"
+    got = quality.judge_quality(spark.read.parquet(f"{at}/documents.parquet")).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").where("not base_failed")
+    n = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
+    low, high = (n.get((q, False), 0) / (n.get((q, False), 0) + n.get((q, True), 0)) for q in (0, 1))
+    assert low > 0.6 and high < 0.02, n
