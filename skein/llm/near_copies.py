@@ -1,10 +1,13 @@
-"""Near copies by the Jaccard similarity of their word shingles (the pipeline's third stage).
-
-A document is the set of its shingles' 64-bit hashes; documents with one set are one node. BANDS x ROWS minimum hashes of
-each set make BANDS values, and nodes that share a value are candidates: at similarity 0.8, all but 3 in 100,000 pairs
-share one. Candidates are confirmed by the exact similarity of their sets. First every node is held against the smallest
-one of each value; then, among nodes that are not joined yet, all pairs of a value whose minimum hashes agree in LIKELY or
-more. A value of more than GROUP nodes is split into cells, and each pair of cells is searched on its own.
+"""Operator 9 at a similarity: near copies by word shingles, found by SimHash and confirmed by exact Jaccard similarity.
+
+A document is the set of its shingles' 64-bit hashes; documents with one set are one node. First the nodes' SimHash
+fingerprints are linked by the Gray-order index (simhash.py); nodes with linked fingerprints are candidates. At a similarity
+of 0.8 fingerprints differ in some ten of 64 bits, in blocks too short for any index, so what the fingerprints leave apart
+is searched by min hashes: BANDS x ROWS minimum hashes of each set make BANDS values, and nodes that share a value are
+candidates; at similarity 0.8, all but 3 in 100,000 pairs share one. All candidates are confirmed by the exact similarity
+of their sets. By values, every node is first held against the smallest one; then, among nodes that are not joined yet,
+all pairs of a value whose minimum hashes agree in LIKELY or more. A value of more than GROUP nodes is split into cells,
+and each pair of cells is searched on its own.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import LAST_ID, map_docs, n_parts, row_groups
+from skein.llm.common import LAST_ID, map_docs, row_groups
+from skein.llm.simhash import DISTANCE, buckets_for, link_fingerprints, of_hashes
 from skein.llm.tables import components, cut
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -101,7 +105,8 @@ def first_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
     def mark(batches) -> Iterator[dict]:
         for d, t, texts in row_groups(batches, "d", "t", "text"):
             sets = [shingle_set(x, shingle) for x in texts]
-            yield {"d": d, "t": t, "node": [set_hash(x) for x in sets], "least": [min_hashes(x).tobytes() for x in sets]}
+            fps = np.array([of_hashes(x) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+            yield {"d": d, "t": t, "node": [set_hash(x) for x in sets], "fp": fps, "least": [min_hashes(x).tobytes() for x in sets]}
 
     def valued(batches) -> Iterator[dict]:
         for nodes, bodies in row_groups(batches, "node", "least"):
@@ -112,19 +117,31 @@ def first_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
                 value ^= value >> np.uint64(29)
             yield {"node": np.repeat(np.array(nodes, np.int64), BANDS), "value": value.reshape(-1).view(np.int64)}
 
-    spark = docs.sparkSession
-    buckets = max(n_parts(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marked = cut(map_docs(_rows(docs), mark, "d long, t long, node long, least binary"), "marked")
-    nodes = marked.groupBy("node").agg(F.first("least").alias("least"))
-    values = cut(map_docs(nodes, valued, "node long, value long"), "values")
+    marked = cut(map_docs(_rows(docs), mark, "d long, t long, node long, fp long, least binary"), "marked")
+    nodes = marked.groupBy("node").agg(F.first("least").alias("least"), F.first("fp").alias("fp"))
+    buckets = buckets_for(marked.count(), DISTANCE, docs.sparkSession)
+    # By fingerprints: nodes with one fingerprint are held against the smallest of them, which stands for it in the index.
+    by_fp = cut(nodes.select("node", "fp"), "by-fingerprint")
+    heads = cut(by_fp.groupBy("fp").agg(F.min("node").alias("first")), "heads")
+    same = by_fp.join(heads, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = link_fingerprints(heads.select("fp"), DISTANCE, buckets=buckets)
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    links = similar(docs, marked, same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), shingle, least)
+    known = components(links, "links")
+    # By values, what fingerprints left apart.
+    values = cut(map_docs(nodes.select("node", "least"), valued, "node long, value long"), "values")
     shared = values.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     held = cut(values.join(shared, "value"), "held")
-    links = similar(docs, marked, held.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")), shingle, least)
+    label = known.select(F.col("node").alias("_of"), F.col("root").alias("_root"))
+    first = held.where("node <> first").select("first", "node").distinct()
+    first = first.join(label.withColumnsRenamed({"_of": "node", "_root": "own"}), "node", "left").join(label.withColumnsRenamed({"_of": "first", "_root": "other"}), "first", "left")
+    first = first.where(F.coalesce("own", "node") != F.coalesce("other", "first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = cut(links.unionByName(similar(docs, marked, first, shingle, least)), "links")
     found = components(links, "links")
     # What the first round left apart, with one byte of each minimum hash.
     labelled = held.join(found, "node", "left").select("node", "value", "n", F.coalesce("root", "node").alias("label"))
     apart = labelled.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
-    labelled = labelled.join(apart, "value", "left_semi").join(nodes, "node")
+    labelled = labelled.join(apart, "value", "left_semi").join(nodes.select("node", "least"), "node")
     cells, cell = F.ceil(F.col("n") / group).cast("int"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / group)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), cells - 1), lambda j: F.struct(F.least(cell, j).alias("x"), F.greatest(cell, j).alias("y"), F.when(j == cell, 2).when(j > cell, 0).otherwise(1).alias("side")))
     dealt = labelled.select("node", "value", "label", "least", F.explode(pairs).alias("p")).select("node", F.xxhash64("value", "p.x", "p.y").alias("value"), F.col("p.side").alias("side"), "label", "least")

@@ -17,10 +17,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import doc_bytes, map_docs, n_parts, row_groups
+from skein.llm.common import doc_bytes, map_docs, row_groups
 from skein.llm.tables import components, cut
 
 SHINGLE, SEED, DISTANCE, GROUP, FAN = 3, 42, 3, 8192, 8
@@ -35,7 +35,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), "<u8")
+    return of_hashes(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), "<u8"))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes: each bit as most of them have it; 0 if there are none."""
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
@@ -147,6 +151,11 @@ def link_fingerprints(distinct: DataFrame, distance: int = DISTANCE, group: int
     return dealt.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
+def buckets_for(fingerprints: int, distance: int, spark: SparkSession) -> int:
+    """So many that a task indexes some hundred thousand fingerprints, and no fewer than the shuffle has."""
+    return max(fingerprints * (distance + 1) >> 18, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id of the component) of every document.
 
@@ -155,7 +164,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     """
     marked = cut(fingerprints(docs, shingle), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(link_fingerprints(distinct, distance, group, max(n_parts(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "links")
+    found = components(link_fingerprints(distinct, distance, group, buckets_for(marked.count(), distance, docs.sparkSession)), "links")
     rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
