@@ -1,8 +1,9 @@
 """A corpus pipeline over documents: STAGES in order, each one of the training-data operators over all that is left.
 
 Every stage but the last returns the columns of documents. Documents that quality rules reject go; repeated runs of lines
-are deleted; of near duplicates (five-word shingles, Jaccard similarity 0.8 or more) the one with the smallest doc_id stays; words in windows that repeat an earlier document
-are deleted; what is left is packed into sequences. Texts that lose something stay as documents, even if empty.
+are deleted; of near duplicates (operator 9 on five-word shingles, confirmed at a Jaccard similarity of 0.8 or more) the one
+with the smallest doc_id stays; words in windows that repeat an earlier document are deleted; what is left is packed into
+sequences. Texts that lose something stay as documents, even if empty.
 
 Every row has its own verdict, also where rows share a doc_id or have none: rows are told apart by doc_id and text, and of
 rows that are equal in both, which are near copies, one stays. Extra columns are carried along, and n_chars follows a changed text.
