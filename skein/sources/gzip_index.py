@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 SPAN = 1 << 22
 WINDOW = 1 << 15
 #: Fixed values of zlib's interface.
-_Z_BLOCK, _Z_OK, _Z_STREAM_END, _Z_BUF_ERROR = 5, 0, 1, -5
+BLOCK, _Z_OK, STREAM_END, _Z_BUF_ERROR = 5, 0, 1, -5
 _FHCRC, _FEXTRA, _FNAME, _FCOMMENT = 2, 4, 8, 16
 _NAME_LIMIT = 512
 
@@ -126,18 +126,23 @@ def libz():
     return None
 
 
-class _Inflate:
-    """Raw inflate over bytes that stay where they are."""
+class Inflate:
+    """Raw inflate over bytes that stay where they are; feed() goes on with others when all are used."""
 
     def __init__(self, data: bytes, at: int):
         self.z, self.data = _Stream(), data
         self.held = ctypes.create_string_buffer(1 << 16)
-        self.base = ctypes.cast(ctypes.c_char_p(data), ctypes.c_void_p).value or 0
         lib = libz()
+        if lib is None:
+            raise GzipError("libz is missing")
         lib.zlibVersion.restype = ctypes.c_char_p
         if lib.inflateInit2_(ctypes.byref(self.z), -15, lib.zlibVersion(), ctypes.sizeof(_Stream)) != _Z_OK:
             raise GzipError("libz can't be set up")
-        self.z.next_in, self.z.avail_in = self.base + at, len(data) - at
+        self.feed(data, at)
+
+    def feed(self, data: bytes, at: int = 0) -> None:
+        self.data = data
+        self.z.next_in, self.z.avail_in = (ctypes.cast(ctypes.c_char_p(data), ctypes.c_void_p).value or 0) + at, len(data) - at
 
     def prime(self, point: RestartPoint) -> None:
         if point.bits:
@@ -148,7 +153,7 @@ class _Inflate:
     def step(self, flush: int) -> tuple[int, bytes]:
         self.z.next_out, self.z.avail_out = ctypes.addressof(self.held), len(self.held)
         code = libz().inflate(ctypes.byref(self.z), flush)
-        if code not in (_Z_OK, _Z_STREAM_END, _Z_BUF_ERROR):
+        if code not in (_Z_OK, STREAM_END, _Z_BUF_ERROR):
             raise GzipError(f"inflate failed with {code}")
         return code, self.held.raw[: len(self.held) - self.z.avail_out]
 
@@ -156,8 +161,29 @@ class _Inflate:
     def at(self) -> int:
         return len(self.data) - self.z.avail_in
 
+    @property
+    def left(self) -> int:
+        return self.z.avail_in
+
+    @property
+    def pending(self) -> bool:
+        """Whether there may be output that had no room."""
+        return not self.z.avail_out
+
+    @property
+    def block_end(self) -> bool:
+        return bool(self.z.data_type & 128)
+
+    @property
+    def final(self) -> bool:
+        return bool(self.z.data_type & 64)
+
+    @property
+    def bits(self) -> int:
+        return self.z.data_type & 7
+
     def __del__(self):
-        if libz() is not None:
+        if libz() is not None and self.z.state:
             libz().inflateEnd(ctypes.byref(self.z))
 
 
@@ -176,12 +202,12 @@ def restart_points(data: bytes, span: int = SPAN) -> list[RestartPoint]:
             out += len(z.decompress(data[start:]))
             at = len(data) - len(z.unused_data) + 8
             continue
-        z, tail = _Inflate(data, start), b""
+        z, tail = Inflate(data, start), b""
         while True:
-            code, got = z.step(_Z_BLOCK)
+            code, got = z.step(BLOCK)
             out += len(got)
             tail = (tail + got)[-WINDOW:]
-            if code == _Z_STREAM_END:
+            if code == STREAM_END:
                 break
             if code == _Z_BUF_ERROR or not got and not z.z.avail_in and not z.z.data_type & 128:
                 raise GzipError("the stream is cut short")
@@ -215,13 +241,13 @@ def _decode(data: bytes, point: RestartPoint, skip: int, length: int) -> bytes:
     """Bytes skip to skip + length behind a point, to the end of its member at most."""
     if libz() is None:
         return zlib.decompressobj(-15).decompress(data[point.into :], skip + length)[skip:]
-    z, out, passed = _Inflate(data, point.into), bytearray(), 0
+    z, out, passed = Inflate(data, point.into), bytearray(), 0
     z.prime(point)
     while len(out) < length:
         code, got = z.step(0)
         out += got[max(0, skip - passed) :]
         passed += len(got)
-        if code == _Z_STREAM_END or code == _Z_BUF_ERROR or not got and not z.z.avail_in:
+        if code == STREAM_END or code == _Z_BUF_ERROR or not got and not z.z.avail_in:
             break
     return bytes(out[:length])
 

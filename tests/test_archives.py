@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import paths
 from skein.operators import reads, toc
-from skein.sources import datasource, gzip_index, index_io, members
+from skein.sources import access, datasource, gzip_index, index_io, members
 from skein.sources.http_source import RangeError, RangeReader
 from skein.streaming import ingest
 
@@ -238,6 +238,80 @@ def test_http_ranges():
     server.shutdown()
 
 
+class Bytes:
+    def __init__(self, data):
+        self.data, self.read = data, 0
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, offset, length):
+        self.read += length
+        return self.data[offset : offset + length]
+
+
+@pytest.mark.parametrize("kind", ["plain", "members", "flushed", "stored", "short", "lorem"])
+@pytest.mark.parametrize("step", [7, 4096])
+def test_stores_are_indexed_and_read_in_steps(kind, step):
+    data, text = streams()[kind]
+    points = gzip_index.restart_points(data, 20_000)
+    assert list(access.restart_points(Bytes(data), 20_000, step)) == points
+    rng, store = random.Random(5), Bytes(data)
+    for p in points:
+        decoder, at = access.Decoder(store, len(data), p, step), p.out
+        for _ in range(4):  # one after the other with one decoder
+            n = rng.randrange(1, 3000)
+            assert decoder.read(at, n) == text[at : at + n]
+            at += n + rng.randrange(-min(n, 5), 500) if decoder.first() <= at + n - 5 else n
+    with pytest.raises(gzip_index.GzipError):
+        list(access.restart_points(Bytes(data[: len(data) * 2 // 3]), 20_000, step))
+
+
+def test_requests_fetch_only_what_they_need(spark, tmp_path):
+    rng = random.Random(6)
+    want = {f"d/{i}.bin": rng.randbytes(rng.randrange(1, 60_000)) for i in range(60)}
+    made = io.BytesIO()
+    with tarfile.open(fileobj=made, mode="w") as tar:
+        for name, content in want.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(content)
+            tar.addfile(info, io.BytesIO(content))
+        for name, to in (("link", "d/7.bin"), ("away", "d/none")):
+            info = tarfile.TarInfo(name)
+            info.type, info.linkname = tarfile.SYMTYPE, to
+            tar.addfile(info)
+    packed = gzip.compress(made.getvalue(), 1)
+    (tmp_path / "a.tar.gz").write_bytes(packed)
+    (tmp_path / "b.tar").write_bytes(made.getvalue())
+    sent = []
+
+    class Served(Handler):
+        body = packed
+
+        def do_GET(self):
+            a, b = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            sent.append(b - a + 1)
+            super().do_GET()
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Served)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/a.tar.gz"
+    archives = [str(tmp_path / "a.tar.gz"), str(tmp_path / "b.tar"), url]
+    points = access.index_archives(spark.createDataFrame([(a,) for a in archives], "archive string"), 50_000).cache()
+    assert sorted({r.archive for r in points.select("archive").collect()}) == sorted([archives[0], url]) and points.count() > 20
+    rows = [(a, e["seq"], e["path"], e["typeflag"], e["linkname"], e["size"], e["offset"]) for a in archives for e in members.entries(made.getvalue())]
+    entries = spark.createDataFrame(rows, "archive string, seq long, path string, typeflag string, linkname string, size long, offset long")
+    sent.clear()
+    asked = [(url, "d/30.bin"), (url, "link"), (url, "away"), (archives[0], "/d/59.bin"), (archives[1], "./d/0.bin")]
+    got = {(r.archive, r.path): r for r in access.open_members(spark.createDataFrame(asked, "archive string, path string"), entries, points).collect()}
+    server.shutdown()
+    for a, p in asked:
+        r = got[a, p]
+        name = {"link": "d/7.bin"}.get(p, p.removeprefix("/").removeprefix("./"))
+        assert r.error == "not found" if p == "away" else bytes(r.content) == want[name], p
+    assert 0 < sum(sent) < len(packed) // 2
+
+
 def test_stream_of_archives(spark, tmp_path):
     landing, out, points = tmp_path / "in", f"{tmp_path}/toc", f"{tmp_path}/points"
     landing.mkdir()
