@@ -6,6 +6,8 @@ whole archive (running sums, numbering) is done in two phases over blocks.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +118,10 @@ def rewrite_directories(requests: DataFrame, toc: DataFrame) -> DataFrame:
 
     Adds rewritten (the path, null if no prefix is a symbolic link). Hard links among the prefixes don't count.
     """
-    links = live(toc).where(F.col("typeflag") == SYMLINK).select("archive", F.col("path").alias("_up"), F.col("linkname").alias("_to"))
+    return _rewritten(requests, live(toc).where(F.col("typeflag") == SYMLINK).select("archive", F.col("path").alias("_up"), F.col("linkname").alias("_to")))
+
+
+def _rewritten(requests: DataFrame, links: DataFrame) -> DataFrame:
     ups = requests.select("archive", "path").distinct().select("archive", "path", F.explode(paths.prefixes("path")).alias("_up"))
     hit = ups.join(links, ["archive", "_up"]).groupBy("archive", "path").agg(F.min_by(F.struct("_up", "_to"), F.length("_up")).alias("_hit"))
     rest = F.expr("substring(path, length(_hit._up) + 2)")
@@ -125,38 +130,45 @@ def rewrite_directories(requests: DataFrame, toc: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Ends the plan's growth: a checkpoint where a folder is set, else rows kept on the executors, which can be redone."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """Ends the plan's growth: a written table where a folder is set, else rows kept on the executors, which can be redone."""
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
+    if not root:
+        return df.persist()
+    at = f"{root.rstrip('/')}/toc-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def resolve(requests: DataFrame, toc: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Follows links from (archive, path) requests: adds target (null if there is none), hops and error.
 
-    Each round takes one hop for the requests that aren't there yet: an entry that is a link, or else a prefix that is a
-    symbolic link. After max_hops hops a request fails, so cycles end. The root always resolves to itself.
+    Each round takes one hop for the paths that aren't there yet: an entry that is a link, or else a prefix that is a
+    symbolic link; the prefixes are looked at only if an entry is missing. After max_hops hops a request fails, so cycles
+    end. The root always resolves to itself.
     """
-    named = live(toc).select("archive", F.col("path").alias("_at"), F.col("typeflag").alias("_t"), F.col("linkname").alias("_l"))
-    links = toc.where(F.col("typeflag") == SYMLINK).limit(1).count() > 0
+    named = _cut(live(toc).select("archive", F.col("path").alias("_at"), F.col("typeflag").alias("_t"), F.col("linkname").alias("_l")))
+    links = named.where(F.col("_t") == SYMLINK).select("archive", F.col("_at").alias("_up"), F.col("_l").alias("_to"))
+    some_links = links.limit(1).count() > 0
     todo = requests.select("archive", "path").distinct().withColumns({"_at": paths.normalize("path"), "hops": F.lit(0)})
     done = None
     while True:
         seen = todo.join(named, ["archive", "_at"], "left")
         is_link = F.coalesce(F.col("_t").isin(HARDLINK, SYMLINK), F.lit(False))
         missing = F.col("_t").isNull() & (F.col("_at") != ".")
-        step = F.when(is_link, paths.link_target("_at", "_t", "_l"))
-        if links:
-            ask = seen.where(missing).select("archive", F.col("_at").alias("path")).distinct()
-            moved = rewrite_directories(ask, toc).select("archive", F.col("path").alias("_at"), "rewritten")
-            seen = seen.join(moved, ["archive", "_at"], "left")
-            step = F.coalesce(step, F.col("rewritten"))
-        seen = _cut(seen.withColumn("_next", step).select("archive", "path", "_at", "hops", "_next", missing.alias("_missing")))
+        seen = _cut(seen.select("archive", "path", "_at", "hops", F.when(is_link, paths.link_target("_at", "_t", "_l")).alias("_next"), missing.alias("_missing")))
+        state = seen.agg(F.coalesce(F.bool_or("_missing"), F.lit(False)), F.coalesce(F.bool_or(F.col("_next").isNotNull() & (F.col("hops") < max_hops)), F.lit(False))).first()
+        lost, more = state
+        if some_links and lost:
+            moved = _rewritten(seen.where("_missing").select("archive", F.col("_at").alias("path")).distinct(), links)
+            seen = _cut(seen.join(moved.select("archive", F.col("path").alias("_at"), "rewritten"), ["archive", "_at"], "left").withColumn("_next", F.coalesce("_next", "rewritten")).drop("rewritten"))
+            more = bool(seen.where(F.col("_next").isNotNull() & (F.col("hops") < max_hops)).limit(1).count())
         over = seen.where(F.col("_next").isNull() | (F.col("hops") >= max_hops))
         error = F.when(F.col("_next").isNotNull(), F.lit("too many links")).when(F.col("_missing"), F.lit("not found"))
         found = over.select("archive", "path", F.when(error.isNull(), F.col("_at")).alias("target"), F.col("hops").cast("long").alias("hops"), error.alias("error"))
         done = found if done is None else done.unionByName(found)
-        todo = seen.where(F.col("_next").isNotNull() & (F.col("hops") < max_hops)).select("archive", "path", F.col("_next").alias("_at"), (F.col("hops") + 1).alias("hops"))
-        if not todo.limit(1).count():
+        if not more:
             return done
+        todo = seen.where(F.col("_next").isNotNull() & (F.col("hops") < max_hops)).select("archive", "path", F.col("_next").alias("_at"), (F.col("hops") + 1).alias("hops"))
 
 
 def stat(requests: DataFrame, toc: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from skein.functions import paths
 from skein.operators import reads, toc
 from skein.plans import virtual
 from skein.plans.virtual import table
+from skein.sources import datasource
 from skein.sources import members as member_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,9 +150,10 @@ def _geography(spark, sf_dir):
     return out.unionByName(flat(o, at("order", "o_orderkey"), "1", F.concat(F.lit("customer/"), "o_custkey"), F.col("o_orderkey")))
 
 
-@_query("SELECT 'nation/' || n_nationkey AS path, '../region/' || n_regionkey AS linkname FROM nation")
+@_query("""SELECT 'nation/' || n_nationkey AS path, '../region/' || n_regionkey AS linkname FROM nation
+ UNION ALL SELECT 'customer/' || c_custkey, '/nation/' || c_nationkey FROM customer UNION ALL SELECT 'order/' || o_orderkey, 'customer/' || o_custkey FROM orders""")
 def readlink(spark, sf_dir):
-    return toc.readlink(_geography(spark, sf_dir)).where("path like 'nation/%'").select("path", "linkname")
+    return toc.readlink(_geography(spark, sf_dir)).select("path", "linkname")
 
 
 @_query("""SELECT 'order/' || o_orderkey AS path, 'region/' || n_regionkey AS target, CAST(CASE WHEN c_custkey IS NULL THEN 1 ELSE 3 END AS BIGINT) AS hops,
@@ -161,10 +163,12 @@ def symlink_resolve(spark, sf_dir):
     return toc.resolve(geo.where("path like 'order/%'").select("archive", "path"), geo).select("path", "target", "hops", "error")
 
 
-@_query("""SELECT 'nation/' || n_nationkey AS path, '2' AS own_type, 'region/' || n_regionkey AS target, '5' AS target_type FROM nation""")
+@_query("""SELECT 'nation/' || n_nationkey AS path, '2' AS own_type, 'region/' || n_regionkey AS target, '5' AS target_type FROM nation
+ UNION ALL SELECT 'customer/' || c_custkey, '2', 'region/' || n_regionkey, '5' FROM customer JOIN nation ON c_nationkey = n_nationkey
+ UNION ALL SELECT 'order/' || o_orderkey, '1', 'region/' || n_regionkey, CASE WHEN n_regionkey IS NOT NULL THEN '5' END FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def stat_and_lstat(spark, sf_dir):
-    geo = _geography(spark, sf_dir).where("path like 'nation/%' or path like 'region/%'")
-    asked = geo.where("path like 'nation/%'").select("archive", "path")
+    geo = _geography(spark, sf_dir)
+    asked = geo.where(F.col("typeflag") != "5").select("archive", "path")
     before = toc.lookup(asked, geo).select("path", F.col("typeflag").alias("own_type"))
     return toc.stat(asked, geo.withColumn("is_dir", F.col("typeflag") == "5")).select("path", "target", F.col("typeflag").alias("target_type")).join(before, "path")
 
@@ -284,9 +288,31 @@ def epoch_ts(spark, sf_dir):
     return e.select("event_id", paths.unix_time(s).cast("timestamp_ntz").alias("modified"))
 
 
-@_query("""SELECT source AS archive, CAST(doc_id AS VARCHAR) || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM documents WHERE doc_id % 10 = 0""")
+@_query("""SELECT source || '-' || (doc_id // 64) AS archive, doc_id || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM documents""")
 def archive_members(spark, sf_dir):
-    """Packs every tenth document into a tar.gz of its own in a task, then reads it back with the member reader."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
-    packed = member_source.pack(d.select(F.col("source").alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content")))
-    return member_source.unpack(packed).select("archive", "path", "size", F.sha2("content", 256).alias("sha256"))
+    """Packs all documents into tar.gz archives of up to 64 members, then reads them back with the member reader."""
+    d = table(spark, sf_dir, "documents").select(F.expr("source || '-' || (doc_id div 64)").alias("archive"), F.concat("doc_id", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return member_source.unpack(member_source.pack_together(d)).select("archive", "path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+def _gzipped(spark, sf_dir):
+    """A gzip stream of two members for each document: its text, then its source."""
+    part = lambda name, c: F.struct(F.concat("doc_id", F.lit(name)).alias("name"), F.col(c).cast("binary").alias("content"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("archive"), F.array(part(".txt", "text"), part(".src", "source")).alias("parts"))
+    return member_source.pack_gzip(d)
+
+
+@_query("""SELECT CAST(doc_id AS VARCHAR) AS archive, CAST(0 AS BIGINT) AS member, doc_id || '.txt' AS name, CAST(0 AS BIGINT) AS out, CAST(strlen(text) AS BIGINT) AS isize, CAST(NULL AS VARCHAR) AS error FROM documents
+ UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, doc_id || '.src', strlen(text), strlen(source), NULL FROM documents""")
+def gzip_members(spark, sf_dir):
+    """Members' headers, positions and sizes; their checksums are verified on the way."""
+    return member_source.gzip_members(_gzipped(spark, sf_dir)).select("archive", "member", "name", "out", "isize", "error")
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS archive, substr(hex(encode(text || source)), 2 * (strlen(text) // 2) + 1, 1200) AS bytes FROM documents")
+def gzip_range_read(spark, sf_dir):
+    """600 bytes from the middle of each text, into the next member where the text ends before, from restart points."""
+    packed = _gzipped(spark, sf_dir)
+    half = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("archive"), F.expr("cast(octet_length(text) div 2 as bigint)").alias("offset"), F.lit(600).cast("long").alias("length"))
+    got = datasource.read_ranges(half, packed, datasource.restart_table(packed, 1 << 12))
+    return got.select("archive", F.hex("content").alias("bytes"))

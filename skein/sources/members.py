@@ -71,6 +71,44 @@ def pack(members: DataFrame) -> DataFrame:
     return members.select("archive", "path", "content").mapInPandas(work, "archive string, content binary")
 
 
+def pack_together(members: DataFrame) -> DataFrame:
+    """One tar.gz archive of each archive's (archive, path, content) rows, by path; an archive is made in one task."""
+
+    def work(key, pdf):
+        import pandas as pd
+
+        held = io.BytesIO()
+        with tarfile.open(fileobj=held, mode="w:gz", format=tarfile.PAX_FORMAT) as tar:
+            for path, content in sorted(zip(pdf["path"], pdf["content"], strict=True)):
+                info = tarfile.TarInfo(path)
+                info.size = len(content)
+                tar.addfile(info, io.BytesIO(content))
+        return pd.DataFrame({"archive": [key[0]], "content": [held.getvalue()]})
+
+    return members.select("archive", "path", "content").groupBy("archive").applyInPandas(work, "archive string, content binary")
+
+
+def pack_gzip(contents: DataFrame) -> DataFrame:
+    """A gzip stream of one named member for each of (archive, parts): arrays of (name, content)."""
+
+    def work(batches):
+        import gzip
+
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for parts in pdf["parts"]:
+                held = io.BytesIO()
+                for p in parts:
+                    with gzip.GzipFile(p["name"], "wb", fileobj=held, mtime=0) as f:
+                        f.write(p["content"])
+                out.append(held.getvalue())
+            yield pd.DataFrame({"archive": pdf["archive"], "content": out})
+
+    return contents.select("archive", "parts").mapInPandas(work, "archive string, content binary")
+
+
 def unpack(archives: DataFrame) -> DataFrame:
     """archive, seq, path, typeflag, size, offset, content and error of all entries of (archive, content) rows.
 
