@@ -127,15 +127,11 @@ def first_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
     near = link_fingerprints(heads.select("fp"), DISTANCE, buckets=buckets)
     near = near.join(heads.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     links = similar(docs, marked, same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), shingle, least)
-    known = components(links, "links")
     # By values, what fingerprints left apart.
     values = cut(map_docs(nodes.select("node", "least"), valued, "node long, value long"), "values")
     shared = values.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     held = cut(values.join(shared, "value"), "held")
-    label = known.select(F.col("node").alias("_of"), F.col("root").alias("_root"))
-    first = held.where("node <> first").select("first", "node").distinct()
-    first = first.join(label.withColumnsRenamed({"_of": "node", "_root": "own"}), "node", "left").join(label.withColumnsRenamed({"_of": "first", "_root": "other"}), "first", "left")
-    first = first.where(F.coalesce("own", "node") != F.coalesce("other", "first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    first = held.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
     links = cut(links.unionByName(similar(docs, marked, first, shingle, least)), "links")
     found = components(links, "links")
     # What the first round left apart, with one byte of each minimum hash.
