@@ -73,3 +73,32 @@ def test_rows_with_one_id_or_none_are_judged_each_by_itself(spark):
     assert len(got) == 4 and sorted(got[i][0] or 0 for i in range(4)) == [0, 5, 5, 6]
     assert (5, good[2]) in got and (6, good[3]) in got and (5, good[1]) in got
     assert corpus_pipeline.near_dedup(spark, frame(spark, []), "").count() == 0
+
+
+def test_a_forest_of_likely_rows_against_all_pairs():
+    rng = random.Random(7)
+    texts = sorted({t.encode() for n, changes in ((150, 6), (150, 9), (40, 1)) for t in family(rng, n, 25, changes)})
+    sets = [near_copies.shingle_set(t) for t in texts]
+    least = np.array([near_copies.min_hashes(x) for x in sets]).reshape(-1, near_copies.BANDS, near_copies.ROWS)
+    rows = [(i, b, hash(least[i, b].tobytes())) for i in range(len(sets)) for b in range(near_copies.BANDS)]
+    node, band, value = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    side = np.full(len(rows), 2, np.int32)
+    own = near_copies.likely_rows(node, value, band, side, node, least[node])
+    assert 0 < own.sum() < len(rows)
+    node, value, band, side = node[own], value[own], band[own], side[own]
+    links = near_copies.forest(node, value, band, side, node, [sets[i] for i in node], 0.8)
+    root = list(range(len(sets)))
+    want = list(root)
+    for a, b in links:
+        assert near_copies.similarity(sets[a], sets[b]) >= 0.8
+        x, y = sorted((root[a], root[b]))
+        assert x != y  # trees only
+        root = [x if r == y else r for r in root]
+    for i in range(len(sets)):
+        for j in range(i):
+            if near_copies.similarity(sets[i], sets[j]) >= 0.8:
+                x, y = sorted((want[i], want[j]))
+                want = [x if r == y else r for r in want]
+    assert root == want and 1 < len(set(root)) < len(sets)
+    for i in range(0, len(sets), 7):
+        assert np.allclose(near_copies.similarities(sets[i], sets), [near_copies.similarity(sets[i], x) for x in sets])
