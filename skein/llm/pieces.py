@@ -116,9 +116,7 @@ class PieceEncoder(ChunkEncoder):
         self.pieces, self.split, self.most = PieceModel(path), _Marked, most
         self.start()
 
-    def _learn(self) -> None:
-        new, self.known.new = self.known.new, []
-        self.key_bytes += sum(map(len, new))
+    def _learn(self, new: list[bytes]) -> None:
         got = []
         for key in new:
             lines = (" " + key.decode("utf-8", "replace")).split("\n")  # a line feed is spelled as a byte, whatever is around it
@@ -127,7 +125,7 @@ class PieceEncoder(ChunkEncoder):
                 ids.append(self.pieces.byte_id[10])
                 ids += self.pieces.encode(line)
             got.append(ids)
-        self._add(np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+        self._add(new, np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
 
 
 _encoders: dict[str, PieceEncoder] = {}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import chunks, doc_bytes, map_docs, n_parts, rows_of
-from skein.llm.tokens import encoder, Spaced
+from skein.llm.tokens import encoder, Spaced, stretches
 
 MAGIC = b"SKRP0001"
 ROUNDS, MIN_COUNT, RULES_A_ROUND = 6, 12, 5120
@@ -57,34 +57,37 @@ def compress(ids: np.ndarray, terminals: int, exact: bool = False, rounds: int =
         frequent = np.flatnonzero(n >= min_count)
         if not len(frequent):
             break
-        best = frequent[np.argsort(-n[frequent], kind="stable")[:room]]
-        chosen = counted[at[best]]
+        best_of = counted[at[frequent]]
+        chosen = best_of[np.argsort(-n[frequent], kind="stable")[:room]]
         # A rule's slot in a table of pairs; where two rules meet, the more frequent one keeps it for this round.
         slot = _slot(chosen)
         _, first = np.unique(slot, return_index=True)
         chosen = chosen[np.sort(first)]
-        table = np.full(_SLOTS, -1, np.int32)
-        table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
-        rule = table[_slot(pairs)]
-        where = np.flatnonzero(rule >= 0)
-        where = where[chosen[rule[where]] == pairs[where]]
+        at = _slot(chosen)
+        # An empty slot holds a pair that belongs to another one: 0 belongs to slot 0, and 1 doesn't.
+        held, table = np.zeros(_SLOTS, kind), np.zeros(_SLOTS, np.int32)
+        held[0] = 1
+        held[at], table[at] = chosen, np.arange(len(chosen), dtype=np.int32)
+        slot = _slot(pairs)
+        where = np.flatnonzero(held[slot] == pairs)
         # Of hits in a row, every second one, from the left, is free to be replaced.
         where = where[_apart(where)]
+        taken = table[slot[where]]
         if exact:
-            where = where[(np.bincount(rule[where], minlength=len(chosen)) >= 2)[rule[where]]]
+            twice = (np.bincount(taken, minlength=len(chosen)) >= 2)[taken]
+            where, taken = where[twice], taken[twice]
             if not len(where):  # what pairs take from each other, or from themselves; try them one by one
                 order = np.argsort(-n[frequent], kind="stable")
-                alone = (np.flatnonzero(pairs == counted[at[frequent[i]]]) for i in order)
+                alone = (np.flatnonzero(pairs == best_of[i]) for i in order)
                 where = next((w for x in alone if len(w := x[_apart(x)]) >= 2), None)
                 if where is None:
                     break
-                chosen, rule = pairs[where[:1]], np.zeros(len(pairs), np.int32)
-        taken = rule[where]
+                chosen, taken = pairs[where[:1]], np.zeros(len(where), np.int32)
         used = np.flatnonzero(np.bincount(taken, minlength=len(chosen)))
-        renumbered = np.zeros(len(chosen), np.int64)
-        renumbered[used] = np.arange(len(used))
+        symbol = np.zeros(len(chosen), kind)
+        symbol[used] = np.arange(top, top + len(used))
         rules.append(np.stack([chosen[used] >> kind(half), chosen[used] & kind((1 << half) - 1)], 1))
-        seq[where] = (top + renumbered[taken]).astype(kind)
+        seq[where] = symbol[taken]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq, top = seq[keep], top + len(used)
@@ -93,8 +96,8 @@ def compress(ids: np.ndarray, terminals: int, exact: bool = False, rounds: int =
 
 def _apart(where: np.ndarray) -> np.ndarray:
     """Of places in a row, every second one."""
-    start = np.maximum.accumulate(np.where(np.diff(where, prepend=-2) > 1, where, 0))
-    return (where - start) % 2 == 0
+    start = np.maximum.accumulate(where * (np.diff(where, prepend=-2) > 1))
+    return (where - start) & 1 == 0
 
 
 def _slot(pairs: np.ndarray) -> np.ndarray:
@@ -103,15 +106,25 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
     return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
 
 
+def _rounds(rules: np.ndarray, terminals: int) -> Iterator[tuple[int, int]]:
+    """Rules in stretches from a to b whose symbols come before rule a."""
+    last, a = rules.max(1, initial=0), 0
+    while a < len(rules):
+        later = np.flatnonzero(last[a : a + RULES_A_ROUND] >= terminals + a)
+        b = a + int(later[0]) if len(later) else min(a + RULES_A_ROUND, len(rules))
+        yield a, b
+        a = b
+
+
 def encode_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, exact: bool = False) -> bytes:
     terminals = int(ids.max(initial=0)) + 1
     seq, rules = compress(ids, terminals, exact)
-    sizes = [1] * len(rules)
-    for r, (a, b) in enumerate(rules.tolist()):
-        sizes[r] = (sizes[a - terminals] if a >= terminals else 1) + (sizes[b - terminals] if b >= terminals else 1)
+    sizes = np.ones(terminals + len(rules), np.int64)
+    for a, b in _rounds(rules, terminals):
+        sizes[terminals + a : terminals + b] = sizes[rules[a:b]].sum(1)
     width = 2 if terminals + len(rules) <= 1 << 16 else 4
     head = struct.pack("<7Q", len(doc_ids), len(ids), terminals, len(rules), len(seq), width, sum(d is None for d in doc_ids))
-    parts = [np.array([d or 0 for d in doc_ids], "<i8"), np.array(lengths, "<u4"), np.array([d is None for d in doc_ids], "u1"), rules[:, 0].astype("<u4"), rules[:, 1].astype("<u4"), np.array(sizes, "<u4"), seq.astype(f"<u{width}")]
+    parts = [np.array([d or 0 for d in doc_ids], "<i8"), np.array(lengths, "<u4"), np.array([d is None for d in doc_ids], "u1"), rules[:, 0].astype("<u4"), rules[:, 1].astype("<u4"), sizes[terminals:].astype("<u4"), seq.astype(f"<u{width}")]
     return MAGIC + head + b"".join(p.tobytes() for p in parts)
 
 
@@ -159,15 +172,16 @@ class Shard:
 
     def all(self) -> np.ndarray:
         """All ids: each rule is expanded once, then copied to where it is used."""
-        flat, own = [], self.sizes
-        for a, b in self.rules.tolist():
-            flat.append(np.concatenate([flat[x - self.terminals] if x >= self.terminals else [x] for x in (a, b)]))
-        pool = np.concatenate([np.arange(self.terminals), *flat]).astype(np.uint32)
-        size = np.concatenate([np.ones(self.terminals, np.int64), own])
+        size = np.concatenate([np.ones(self.terminals, np.int64), self.sizes])
         first = np.cumsum(size) - size
-        n = size[self.seq]
-        ends = np.cumsum(n)
-        return pool[np.repeat(first[self.seq] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        pool = np.empty(int(size.sum()), np.uint32)
+        pool[: self.terminals] = np.arange(self.terminals)
+        for a, b in _rounds(self.rules, self.terminals):
+            symbols = self.rules[a:b].ravel()
+            got = stretches(pool, first[symbols], size[symbols])
+            at = first[self.terminals + a]
+            pool[at : at + len(got)] = got
+        return stretches(pool, first[self.seq], size[self.seq])
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, exact: bool = False) -> None:
@@ -190,7 +204,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             body = encode_shard(doc_ids, lengths, np.concatenate(ids), exact)
             return {"shard": [made], "n_docs": [len(doc_ids)], "n_ids": [sum(lengths)], "body": [body]}
 
-        for group in chunks(rows_of(batches, "doc_id", "text"), limit=4 << 20):
+        for group in chunks(rows_of(batches, "doc_id", "text"), limit=8 << 20):
             got, stops = coder.encode([t for _, t in group], end_id)
             doc_ids += [d for d, _ in group]
             lengths += np.diff(stops, prepend=0).tolist()
