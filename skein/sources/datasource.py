@@ -13,9 +13,10 @@ import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from skein.sources import gzip_index, members
+from skein.sources import batching, gzip_index, members
 from skein.sources.http_source import RangeReader
 
 
@@ -116,33 +117,42 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArchiveBlocks)
 
 
+_POINTS = "archive string, into long, out long, bits int, value long, history binary"
+
+
 def restart_table(archives: DataFrame, span: int = gzip_index.SPAN) -> DataFrame:
     """archive, into, out, bits, value, history of (archive, content) rows; keep it as a table, or as JSON by index_io."""
 
-    def work(batches):
-        import pandas as pd
+    def work(rows):
+        for archive, content in rows:
+            for p in gzip_index.restart_points(content, span):
+                yield archive, p.into, p.out, p.bits, p.value, p.history
 
-        for pdf in batches:
-            rows = [(a, p.into, p.out, p.bits, p.value, p.history) for a, c in zip(pdf["archive"], pdf["content"], strict=True) for p in gzip_index.restart_points(c, span)]
-            yield pd.DataFrame(rows, columns=["archive", "into", "out", "bits", "value", "history"])
-
-    return archives.select("archive", "content").mapInPandas(work, "archive string, into long, out long, bits int, value long, history binary")
+    return batching.map_rows(archives.select("archive", "content"), work, _POINTS)
 
 
 def read_ranges(requests: DataFrame, archives: DataFrame, points: DataFrame) -> DataFrame:
     """archive, offset, length and content of (archive, offset, length) requests into gzip archives.
 
-    Requests meet their archive and its points in one group; each is decoded from the point before it.
+    A task reads one sorted stream in which each archive comes first, then its points, then its requests; it holds one
+    archive and its points at a time. Each request is decoded from the point before it.
     """
-    import pandas as pd
-
-    def work(key, asked, held):
-        rows, data = [], {a: c for a, c in zip(held["archive"], held["content"], strict=True) if c is not None}
-        own = held[held["content"].isna()]
-        at = [gzip_index.RestartPoint(int(i), int(o), int(b), int(v), h) for i, o, b, v, h in zip(own["into"], own["out"], own["bits"], own["value"], own["history"], strict=True)]
-        for a, o, n in sorted(zip(asked["archive"], asked["offset"], asked["length"], strict=True)):
-            rows.append((a, o, n, gzip_index.read_range(data[a], at, int(o), int(n)) if a in data else None))
-        return pd.DataFrame(rows, columns=["archive", "offset", "length", "content"])
-
-    both = archives.select("archive", "content").unionByName(points.select("archive", "into", "out", "bits", "value", "history"), allowMissingColumns=True)
-    return requests.groupBy("archive").cogroup(both.groupBy("archive")).applyInPandas(work, "archive string, offset long, length long, content binary")
+
+    def work(rows):
+        name, data, at = work, None, []
+        for archive, kind, offset, length, content, into, out, bits, value, history in rows:
+            if name is work or archive != name:
+                name, data, at = archive, None, []
+            if kind == 0:
+                data = content
+            elif kind == 1:
+                at.append(gzip_index.RestartPoint(into, out, bits, value, history))
+            else:
+                yield archive, offset, length, None if data is None else gzip_index.read_sorted(data, at, offset, length)
+
+    tagged = lambda df, kind, *cols: df.select("archive", F.lit(kind).alias("kind"), *cols)
+    both = tagged(requests, 2, F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"))
+    both = both.unionByName(tagged(archives, 0, "content"), allowMissingColumns=True).unionByName(tagged(points, 1, *_POINTS.replace(",", "").split()[2::2]), allowMissingColumns=True)
+    stream = both.repartition("archive").sortWithinPartitions("archive", "kind", "out", "into", "offset", "length")
+    order = ["archive", "kind", "offset", "length", "content", "into", "out", "bits", "value", "history"]
+    return batching.map_rows(stream.select(order), work, "archive string, offset long, length long, content binary")

@@ -171,6 +171,16 @@ def test_json_round_trip_and_range_reads(spark):
     assert sorted(map(str, again.select(*cols).collect())) == sorted(map(str, t.select(*cols).collect()))
 
 
+def test_range_reads_of_many_archives(spark):
+    rng, data = random.Random(8), {f"a{i}": text for i, (_, text) in enumerate(streams().values())} | {f"b{i}": b"%d " % i * (i % 40) for i in range(300)}
+    archives = spark.createDataFrame([(a, gzip.compress(t[:7]) + gzip.compress(t[7:])) for a, t in data.items()] + [(None, gzip.compress(b"no name"))], "archive string, content binary")
+    asked = [(a, rng.randrange(len(t) + 3), rng.randrange(3000)) for a, t in data.items() for _ in range(3)] + [("gone", 0, 5), (None, 3, 9)]
+    got = datasource.read_ranges(spark.createDataFrame(asked, "archive string, offset long, length long"), archives, datasource.restart_table(archives, 20_000))
+    want = [(a, o, n, None if a == "gone" else (data[a] if a else b"no name")[o : o + n]) for a, o, n in asked]
+    assert sorted(map(repr, ((r.archive, r.offset, r.length, None if r.content is None else bytes(r.content)) for r in got.collect()))) == sorted(map(repr, want))
+    assert "CoGroups" not in got._jdf.queryExecution().toString()  # a call into Python for each archive
+
+
 def test_sources_and_blocks(spark, tmp_path):
     datasource.register(spark)
     rng = random.Random(3)
