@@ -11,9 +11,15 @@ BYTES, ROWS = 4 << 20, 4096
 
 
 def rows(batches: Iterable, *names: str) -> Iterator[tuple]:
-    """One tuple per row of the named columns."""
+    """One tuple per row of the named columns. A batch's memory is given back before the next one is asked for."""
+    import pyarrow as pa
+
     for b in batches:
-        yield from zip(*((v.as_py() for v in b.column(b.schema.get_field_index(n))) for n in names), strict=True)
+        columns = [b.column(b.schema.get_field_index(n)) for n in names]
+        b = None
+        yield from zip(*((v.as_py() for v in c) for c in columns), strict=True)
+        columns = None
+        pa.default_memory_pool().release_unused()
 
 
 def batches_of(found: Iterable[tuple], ddl: str) -> Iterator:

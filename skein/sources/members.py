@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.sources import gzip_index
+from skein.sources import batching, gzip_index
 
 TOC = (
     "archive string, seq long, name string, path string, parent string, base string, typeflag string, linkname string, size long, offset long, mode int, uid long, gid long, "
@@ -91,22 +91,17 @@ def pack_together(members: DataFrame) -> DataFrame:
 def pack_gzip(contents: DataFrame) -> DataFrame:
     """A gzip stream of one named member for each of (archive, parts): arrays of (name, content)."""
 
-    def work(batches):
+    def work(rows):
         import gzip
 
-        import pandas as pd
+        for archive, parts in rows:
+            held = io.BytesIO()
+            for p in parts:
+                with gzip.GzipFile(p["name"], "wb", fileobj=held, mtime=0) as f:
+                    f.write(p["content"])
+            yield archive, held.getvalue()
 
-        for pdf in batches:
-            out = []
-            for parts in pdf["parts"]:
-                held = io.BytesIO()
-                for p in parts:
-                    with gzip.GzipFile(p["name"], "wb", fileobj=held, mtime=0) as f:
-                        f.write(p["content"])
-                out.append(held.getvalue())
-            yield pd.DataFrame({"archive": pdf["archive"], "content": out})
-
-    return contents.select("archive", "parts").mapInPandas(work, "archive string, content binary")
+    return batching.map_rows(contents.select("archive", "parts"), work, "archive string, content binary")
 
 
 def unpack(archives: DataFrame) -> DataFrame:
@@ -136,23 +131,14 @@ def unpack(archives: DataFrame) -> DataFrame:
 def gzip_members(archives: DataFrame) -> DataFrame:
     """archive and the header fields, position, CRC and size of each gzip member of (archive, content) rows."""
 
-    def work(batches):
-        import pandas as pd
+    def work(rows):
+        for archive, content in rows:
+            try:
+                yield from [(archive, m.member, m.data, m.out, m.name, m.comment, m.extra, m.mod_time, m.os, m.crc32, m.isize, None) for m, _ in gzip_index.read_members(content, keep=False)]
+            except gzip_index.GzipError as e:
+                yield archive, *[None] * 10, str(e)
 
-        names = ["archive", "member", "into", "out", "name", "comment", "extra", "mod_time", "os", "crc32", "isize", "error"]
-        for pdf in batches:
-            rows = []
-            for archive, content in zip(pdf["archive"], pdf["content"], strict=True):
-                try:
-                    rows += [(archive, m.member, m.data, m.out, m.name, m.comment, m.extra, m.mod_time, m.os, m.crc32, m.isize, None) for m, _ in gzip_index.read_members(content)]
-                except gzip_index.GzipError as e:
-                    rows.append((archive, *[None] * 10, str(e)))
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("member", "into", "out", "mod_time", "os", "crc32", "isize"):
-                out[c] = out[c].astype("Int64")
-            yield out
-
-    got = archives.select("archive", "content").mapInPandas(work, "archive string, member long, into long, out long, name string, comment string, extra binary, mod_time long, os long, crc32 long, isize long, error string")
+    got = batching.map_rows(archives.select("archive", "content"), work, "archive string, member long, into long, out long, name string, comment string, extra binary, mod_time long, os long, crc32 long, isize long, error string")
     return got.withColumn("mod_time", F.timestamp_seconds("mod_time"))
 
 

@@ -156,6 +156,54 @@ def test_members_headers_and_damage(spark):
     assert {r.archive for r in got if r.error} == set(bad) and not [r for r in got if r.archive == "none"]
 
 
+def test_large_rows_one_at_a_time(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    body = bytes(1 << 20)
+    made = [("a", [{"name": f"{i}.txt", "content": body}, {"name": "x", "content": b"y"}]) for i in range(24)]
+    schema = pa.schema([("archive", pa.string()), ("parts", pa.list_(pa.struct([("name", pa.string()), ("content", pa.binary())])))])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+
+    class Frame:
+        """Runs the function of mapInArrow here."""
+
+        columns = ["archive", "parts"]
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, f, ddl):
+            return f([batch])
+
+        def mapInPandas(self, f, ddl):
+            return f(b.to_pandas() for b in [batch])
+
+    del made
+    tracemalloc.start()
+    got = [c.as_py() if hasattr(c, "as_py") else c for b in members.pack_gzip(Frame()) for c in (b.column(1) if hasattr(b, "column") else b["content"])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 24 and all([c for _, c in gzip_index.read_members(d)] == [body, b"y"] for d in got)
+    assert peak < 6 << 20
+
+
+def test_many_members_are_read_in_steps():
+    import tracemalloc
+
+    one = gzip.compress(bytes(100), 1)
+    many = one * 20_000 + gzip.compress(bytes(40 << 20))
+    tracemalloc.start()
+    found = [m for m, _ in gzip_index.read_members(many, keep=False)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 20_001 and found[-1].out == 2_000_000 and found[-1].isize == 40 << 20 and found[-1].end == len(many) and peak < 24 << 20
+    for n in range(1, len(one)):
+        with pytest.raises(gzip_index.GzipError):
+            list(gzip_index.read_members(one + one[:n]))
+
+
 def test_json_round_trip_and_range_reads(spark):
     data, text = streams()["plain"]
     archives = spark.createDataFrame([("a", data)], "archive string, content binary")
