@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import tarfile
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -72,20 +73,23 @@ def pack(members: DataFrame) -> DataFrame:
 
 
 def pack_together(members: DataFrame) -> DataFrame:
-    """One tar.gz archive of each archive's (archive, path, content) rows, by path; an archive is made in one task."""
+    """One tar.gz archive of each archive's (archive, path, content) rows, by path; an archive is made in one task.
 
-    def work(key, pdf):
-        import pandas as pd
+    Members come sorted and go into the archive one by one: a task holds one archive's compressed bytes.
+    """
 
-        held = io.BytesIO()
-        with tarfile.open(fileobj=held, mode="w:gz", format=tarfile.PAX_FORMAT) as tar:
-            for path, content in sorted(zip(pdf["path"], pdf["content"], strict=True)):
-                info = tarfile.TarInfo(path)
-                info.size = len(content)
-                tar.addfile(info, io.BytesIO(content))
-        return pd.DataFrame({"archive": [key[0]], "content": [held.getvalue()]})
+    def work(rows):
+        for archive, group in itertools.groupby(rows, key=lambda r: r[0]):
+            held = io.BytesIO()
+            with tarfile.open(fileobj=held, mode="w:gz", format=tarfile.PAX_FORMAT) as tar:
+                for _, path, content in group:
+                    info = tarfile.TarInfo(path)
+                    info.size = len(content)
+                    tar.addfile(info, io.BytesIO(content))
+            yield archive, held.getvalue()
 
-    return members.select("archive", "path", "content").groupBy("archive").applyInPandas(work, "archive string, content binary")
+    own = members.select("archive", "path", "content").repartition("archive").sortWithinPartitions("archive", "path", "content")
+    return batching.map_rows(own, work, "archive string, content binary")
 
 
 def pack_gzip(contents: DataFrame) -> DataFrame:
@@ -110,22 +114,15 @@ def unpack(archives: DataFrame) -> DataFrame:
     An archive that can't be read gives one row with the error and no path.
     """
 
-    def work(batches):
-        import pandas as pd
+    def work(rows):
+        for archive, content in rows:
+            try:
+                tar = uncompressed(content)
+                yield from [(archive, e["seq"], e["path"], e["typeflag"], e["size"], e["offset"], tar[e["offset"] : e["offset"] + e["size"]] if e["typeflag"] in "07" else b"", None) for e in entries(tar)]
+            except (gzip_index.GzipError, tarfile.TarError, ValueError) as e:
+                yield archive, None, None, None, None, None, None, str(e)
 
-        names = ["archive", "seq", "path", "typeflag", "size", "offset", "content", "error"]
-        for pdf in batches:
-            for archive, content in zip(pdf["archive"], pdf["content"], strict=True):
-                try:
-                    tar = uncompressed(content)
-                    rows = [(archive, e["seq"], e["path"], e["typeflag"], e["size"], e["offset"], tar[e["offset"] : e["offset"] + e["size"]] if e["typeflag"] in "07" else b"", None) for e in entries(tar)]
-                except (gzip_index.GzipError, tarfile.TarError, ValueError) as e:
-                    rows = [(archive, None, None, None, None, None, None, str(e))]
-                out = pd.DataFrame(rows, columns=names)
-                out[["seq", "size", "offset"]] = out[["seq", "size", "offset"]].astype("Int64")
-                yield out
-
-    return archives.select("archive", "content").mapInPandas(work, "archive string, seq long, path string, typeflag string, size long, offset long, content binary, error string")
+    return batching.map_rows(archives.select("archive", "content"), work, "archive string, seq long, path string, typeflag string, size long, offset long, content binary, error string")
 
 
 def gzip_members(archives: DataFrame) -> DataFrame:

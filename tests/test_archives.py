@@ -204,6 +204,19 @@ def test_many_members_are_read_in_steps():
             list(gzip_index.read_members(one + one[:n]))
 
 
+def test_archives_packed_and_unpacked_in_streams(spark):
+    rng = random.Random(9)
+    rows = [(None if i % 7 == 0 else f"a{i % 30}", f"{i:04d}", rng.randbytes(rng.randrange(2000))) for i in range(600)]
+    packed = members.pack_together(spark.createDataFrame(rows, "archive string, path string, content binary").repartition(5))
+    assert packed.count() == len({a for a, _, _ in rows}) and "Groups" not in packed._jdf.queryExecution().toString()  # a call into Python for each archive
+    bad = spark.createDataFrame([("bad", gzip.compress(b"x" * 700))], "archive string, content binary")
+    got = members.unpack(packed.unionByName(bad)).collect()
+    assert sorted((str(r.archive), r.path, bytes(r.content)) for r in got if not r.error) == sorted((str(a), p, c) for a, p, c in rows)
+    own = [r for r in got if r.archive == "a1"]
+    assert [r.path for r in own] == sorted(r.path for r in own) and [r.seq for r in own] == list(range(len(own)))
+    assert [r.archive for r in got if r.error] == ["bad"]
+
+
 def test_json_round_trip_and_range_reads(spark):
     data, text = streams()["plain"]
     archives = spark.createDataFrame([("a", data)], "archive string, content binary")
